@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, crosspoly, licenses, minhash, packing, pstable
+from . import anchors, bpe, crosspoly, licenses, minhash, packing, pstable
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
 
