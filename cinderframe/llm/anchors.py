@@ -192,19 +192,21 @@ def kept_words(text: str, gone: np.ndarray) -> bytes:
 
 
 def remove_repeats(documents: DataFrame, window: int = 13, period: int = 7, digest: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, and kept_sha256 or the kept text (``digest`` false)."""
+    """doc_id, n_words, n_removed and kept_sha256; or (``digest`` false) the documents' own columns, the
+    text without repeated windows' words and n_chars to match. A text that loses nothing stays as it is."""
     tune(documents.sparkSession)
     told = by_document(repeats(documents, window, period))
-    texts = only(documents, doc_id="long", text="string")
-    last = ("kept_sha256", pa.string()) if digest else ("text", pa.string())
+    rows = only(documents, doc_id="long", text="string") if digest else documents
+    names, kinds = rows.columns, rows.schema
+    joined = rows.join(told.select(F.col("doc_id").alias("_told_id"), "hashes"), F.col("doc_id") == F.col("_told_id"), "left").drop("_told_id")
 
     def strip(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
-            words, at = batch_words(batch.column("text"))
+            texts = batch.column("text")
+            words, at = batch_words(texts)
             h = grams(words, window)
             removed, out = [], []
-            for k, (text, own) in enumerate(zip(batch.column("text").to_pylist(), known(batch, 8))):
+            for k, (text, own) in enumerate(zip(texts.to_pylist(), known(batch, 8))):
                 n = int(at[k + 1] - at[k])
                 gone = np.zeros(n, bool)
                 if len(own) and n >= window:
@@ -216,8 +218,14 @@ def remove_repeats(documents: DataFrame, window: int = 13, period: int = 7, dige
                 removed.append(int(gone.sum()))
                 if digest:
                     out.append(hashlib.sha256(kept_words(text or "", gone)).hexdigest())
-                else:  # a text that loses nothing stays as it is
+                else:
                     out.append(kept_words(text or "", gone).decode() if removed[-1] else text)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(out, last[1])], ["doc_id", "n_words", "n_removed", last[0]])
-
-    return texts.join(told, "doc_id", "left").mapInArrow(strip, f"doc_id long, n_words long, n_removed long, {last[0]} string")
+            if digest:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+
+    if digest:
+        return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kept = joined.mapInArrow(strip, kinds)
+    return kept.withColumn("n_chars", F.length("text").cast(kinds["n_chars"].dataType)) if "n_chars" in names else kept

@@ -285,8 +285,9 @@ class BpeCoder:
         """Fill the caches with the ids of the given stretches."""
         split = {c: self._split(c) for c in chunks}
         new = list({w for parts in split.values() for w in parts if type(w) is str} - self.words.keys())
-        self.words.update((w, self.word(w)) for w in new if len(w) > 64)
-        short = [w for w in new if len(w) <= 64]
+        side_by_side = len(new) >= 500  # else stepping them together costs more than it saves
+        self.words.update((w, self.word(w)) for w in new if len(w) > 64 or not side_by_side)
+        short = [w for w in new if len(w) <= 64] if side_by_side else []
         for k in range(0, len(short), 50_000):
             part = short[k : k + 50_000]
             self.words.update(zip(part, self.many(part)))
@@ -299,8 +300,8 @@ class BpeCoder:
             return [x for s in self.special.split(chunk) if s for x in ([self.special_ids[s]] if s in self.special_ids else self.pretokens(s))]
         return self.pretokens(chunk)
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text as little-endian unsigned 32-bit integers."""
+    def prepare(self, texts: list[str]) -> list[list[str]]:
+        """Split texts at white space, with all stretches' ids in the cache."""
         split = [CHUNK.findall(t) if NOT_SPACE.search(t) else t.split() for t in texts]
         new = set().union(*split) - self.chunks.keys()
         if new:
@@ -312,6 +313,11 @@ class BpeCoder:
             if len(self.words) > self.size:
                 self.words.clear()
             self._learn(new - back)
+        return split
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text as little-endian unsigned 32-bit integers."""
+        split = self.prepare(texts)
         known = self.chunks.__getitem__
         return [b"".join(map(known, chunks)) for chunks in split]
 

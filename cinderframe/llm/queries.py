@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, bpe, crosspoly, licenses, minhash, packing, pstable
+from . import anchors, arc, bpe, crosspoly, edits, langid, licenses, minhash, packing, pstable
 from .common import table
 
 
@@ -24,10 +24,18 @@ def op2_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_documents(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.through_archives(table(spark, sf_dir, "pages"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspoly.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
@@ -36,6 +44,11 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return edits.count_edits(documents, edits.made_edits(documents), vocabulary())
+
+
 def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
 
