@@ -281,10 +281,10 @@ class BpeCoder:
             return found if chunk.isprintable() else [w.translate(self.letters) for w in found]
         return [w.encode().decode("latin-1").translate(self.letters) for w in found]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: list[str]) -> None:
         """Fill the caches with the ids of the given stretches."""
         split = {c: self._split(c) for c in chunks}
-        new = list({w for parts in split.values() for w in parts if type(w) is str} - self.words.keys())
+        new = list({w for parts in split.values() for w in parts if type(w) is str and w not in self.words})
         side_by_side = len(new) >= 500  # else stepping them together costs more than it saves
         self.words.update((w, self.word(w)) for w in new if len(w) > 64 or not side_by_side)
         short = [w for w in new if len(w) <= 64] if side_by_side else []
@@ -303,16 +303,15 @@ class BpeCoder:
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """Split texts at white space, with all stretches' ids in the cache."""
         split = [CHUNK.findall(t) if NOT_SPACE.search(t) else t.split() for t in texts]
-        new = set().union(*split) - self.chunks.keys()
+        new = [c for c in set().union(*split) if c not in self.chunks]
         if new:
             if len(self.chunks) + len(new) > self.size:  # the older half goes, what is still in use comes back
                 self.older, self.chunks = self.chunks, {}
-                new = set().union(*split)
-            back = new & self.older.keys()
-            self.chunks.update((c, self.older[c]) for c in back)
+                new = list(set().union(*split))
+            self.chunks.update((c, self.older[c]) for c in new if c in self.older)
             if len(self.words) > self.size:
                 self.words.clear()
-            self._learn(new - back)
+            self._learn([c for c in new if c not in self.chunks])
         return split
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
