@@ -76,7 +76,7 @@ def fit_rows(sets: np.ndarray, labels: list[str], landmarks: int, ridge: float)
     # every language weighs the same, else a rare one would drown
     weight = np.array([1.0 / labels.count(g) for g in labels])[:, None] * len(labels) / len(languages)
     w = np.linalg.solve((phi - mean).T @ (weight * (phi - mean)) + ridge * len(labels) * np.eye(phi.shape[1]), (phi - mean).T @ (weight * (y - level)))
-    return Model(languages, (marks.T @ (root @ w)).astype(np.float32), level - mean @ w)
+    return Model(languages, marks.T.astype(np.float64) @ (root @ w), level - mean @ w)
 
 
 def fit(labelled: DataFrame, sample: int = 2400, landmarks: int = 240, ridge: float = 1e-3, longest: int = 3, bits: int = 15) -> Model | None:
@@ -127,10 +127,11 @@ def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: i
             usable = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if model else []
             for a in range(0, len(usable), rows):
                 part = usable[a : a + rows]
-                sets = np.zeros((len(part), 1 << bits), np.float32)
+                sets = np.zeros((len(part), 1 << bits))
                 for row, k in zip(sets, part):
                     spectrum.presence(text_bytes(texts[k]), row)
-                f = sets @ model.weights / np.sqrt(sets.sum(1, keepdims=True)) + model.bias
+                # rounded, so that a text's place in its batch does not show
+                f = np.round(sets @ model.weights / np.sqrt(sets.sum(1, keepdims=True)) + model.bias, 9)
                 best = f.argmax(1)
                 for k, b, s in zip(part, best.tolist(), f[np.arange(len(part)), best].tolist()):
                     lang[k], score[k] = model.languages[b], min(1.0, max(0.0, (s + 1) / 2))
