@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import containment, crown, fuels, spotting, surface, units, weather as wx
-from ..operators import ensemble, grid, intervals, replay
+from ..operators import arrival, ensemble, grid, intervals, replay, sampling
+from ..sources import sparse_binary, tables
+from ..shared import stored
 from . import landscape as land
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -463,6 +465,60 @@ def weighted_scores(spark, sf_dir):
     return rounded(replay.weighted_scores(land.sims(spark, sf_dir), ["sim"], weight, ["flame_length"]), "flame_length")
 
 
+# --- samples, arrival times ------------------------------------------------------------------------------------------------------------
+
+_BUCKET = "(((CAST({i} AS BIGINT) * 73856093 + CAST({j} AS BIGINT) * 19349663) % 1024 + 1024) % 1024)"
+
+
+def _perturb(i, j):
+    return "(-5 + " + _BUCKET.format(i=i, j=j) + " / 1023e0 * 10)"
+
+
+@query(f"WITH {land.CELLS} SELECT i, j, round({_perturb('i', 'j')}, 6) AS by_pixel, round({_perturb('-1', '-1')}, 6) AS overall, round({_perturb('a', 'b')} * (1 - u) * (1 - v) + {_perturb('a + 1', 'b')} * u * (1 - v) + {_perturb('a', 'b + 1')} * (1 - u) * v + {_perturb('a + 1', 'b + 1')} * u * v, 6) AS smoothed FROM (SELECT *, CAST(floor(i / 7e0) AS BIGINT) AS a, CAST(floor(j / 7e0) AS BIGINT) AS b, i / 7e0 - floor(i / 7e0) AS u, j / 7e0 - floor(j / 7e0) AS v FROM cells)")
+def perturbations(spark, sf_dir):
+    """By pixel, for the whole layer, and interpolated on a coarser grid."""
+    i, j = F.col("i"), F.col("j")
+    three = {"by_pixel": sampling.pixel_perturbation(-5.0, 5.0, i, j), "overall": sampling.pixel_perturbation(-5.0, 5.0, F.lit(-1), F.lit(-1)), "smoothed": sampling.smoothed_perturbation(-5.0, 5.0, 7.0, i, j)}
+    return land.cells(spark, sf_dir).select("i", "j", *(F.round(c, 6).alias(n) for n, c in three.items()))
+
+
+@query()
+def draw_samples(spark, sf_dir):
+    """Parameters of a thousand simulations: a range, a list, a constant, a normal draw."""
+    sim = F.col("id")
+    return spark.range(1000).select(sim.alias("sim"), sampling.drawn(1, (0.5, 2.0), sim).alias("ellipse"), sampling.drawn(2, [60.0, 120.0, 240.0], sim).alias("max_runtime"), sampling.drawn(3, 90.0, sim).alias("foliar"), sampling.normal(4, 0.0, 1.0, sim).alias("gust"))
+
+
+@query()
+def ignition_sites(spark, sf_dir):
+    """Fifty sites among the burnable cells away from the edge."""
+    inside = F.col("i").between(3, 36) & F.col("j").between(3, 36)
+    return sampling.ignition_sites(land.cells(spark, sf_dir), 50, fuels.burnable(F.col("model")) & inside, 7)
+
+
+@query()
+def arrival_times(spark, sf_dir):
+    """Six fires over ten minutes, all at once."""
+    fast = stored(_maximum(spark, sf_dir).select("i", "j", "elevation", "max_rate", "max_direction", "eccentricity"), "rates")
+    starts = sampling.ignition_sites(fast.select("i", "j"), 6, F.lit(True), 7).withColumn("burn_time", F.lit(0.0))
+    return arrival.arrival_times(starts, arrival.moves(fast, 98.425), 10.0)
+
+
+@query(f"WITH {land.SIMS} SELECT sim, count(*) AS n_cells, 4 + 16 * count(*) AS n_bytes FROM sims WHERE burn_time > 0 GROUP BY sim")
+def sparse_files(spark, sf_dir):
+    """Sizes of sparse binary outputs, a file a simulation."""
+    files = sparse_binary.encoded(land.sims(spark, sf_dir), 40, ["burn_time", "flame_length"])
+    return files.select("sim", ((F.length("content") - 4) / 16).cast("bigint").alias("n_cells"), F.length("content").cast("bigint").alias("n_bytes"))
+
+
+@query("SELECT part_name AS name, CAST(p_partkey % 10 AS INT) AS lo, CAST(p_partkey % 10 + p_size AS INT) AS hi, p_brand AS value FROM (SELECT *, lower(replace(p_type, ' ', '_')) AS part_name FROM part)")
+def namelist_parse(spark, sf_dir):
+    """Decks of NAME(a:b) = 'value' lines."""
+    p = land.table(spark, sf_dir, "part")
+    line = F.format_string("  %s(%d:%d) = '%s' ! note", F.replace("p_type", F.lit(" "), F.lit("_")), F.col("p_partkey") % 10, F.col("p_partkey") % 10 + F.col("p_size"), F.col("p_brand"))
+    return tables.namelist(p.select(line.alias("value")))
+
+
 # --- text, sessions -------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,0 +1,20 @@
+"""Tables written to the shared folder between iterations."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to spark.checkpoint.dir (a new folder where it is unset, as in tests) and read back: lineage ends there."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="cinderframe-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
