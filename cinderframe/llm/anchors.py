@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, tasks, tune
-from .wordhash import batch_words, grams
+from .common import cut, only, release, tasks, tune
+from .wordhash import batch_words, grams, mix
 
 #: Periods and difference covers, every residue being a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
@@ -63,29 +63,44 @@ def packed(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, buckets: int,
     first = np.concatenate([[True], h[1:] != h[:-1]])
     several = ~first | np.concatenate([~first[1:], [False]])
     settled = ~first if smaller else several
-    out: list[list] = [[], [], [], [], []]
+    parts = []
     for kind, pick in ((0, first), (1, settled)):
-        hh, dd = h[pick], d[pick]
-        if kind and not len(hh):
-            continue
-        # the bucket is a part of the hash of its own
-        bucket = ((hh >> np.uint64(42)) % np.uint64(buckets)).astype(np.int64) if not kind else dd % buckets
-        order = np.lexsort((dd, bucket))
-        hh, dd, bucket = hh[order], dd[order], bucket[order]
-        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist()
-        for a, b in zip(cuts, cuts[1:]):
-            own, n = np.unique(dd[a:b], return_counts=True)
-            raw = hh[a:b] if smaller else hh[a:b].view(np.uint8).reshape(-1, 8)[:, :5]
-            for column, value in zip(out, (int(bucket[a]), kind, own.tobytes(), n.astype(np.int32).tobytes(), np.ascontiguousarray(raw).tobytes())):
-                column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "kind", "docs", "counts", "hashes"])
+        if pick.any():
+            # the bucket is a part of the hash of its own; what is settled goes straight to the document's place
+            bucket = (h[pick] >> np.uint64(42)) % np.uint64(buckets) if not kind else owner(d[pick], buckets)
+            parts.append(packets(bucket.astype(np.int64), kind, h[pick], d[pick], 8 if smaller else 5))
+    return pa.concat_tables(parts).combine_chunks().to_batches()[0]
+
+
+def owner(docs: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a document's answers meet."""
+    return mix(docs.astype(np.uint64)) % np.uint64(buckets)
+
+
+def packets(bucket: np.ndarray, kind: int, h: np.ndarray, d: np.ndarray, width: int) -> pa.Table:
+    """One row a bucket: its documents, how many hashes each has, and the hashes' lowest ``width`` bytes."""
+    order = np.lexsort((d, bucket))
+    h, d, bucket = h[order], d[order], bucket[order]
+    raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :width])
+    cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
+    docs, counts, hashes = [], [], []
+    for a, b in zip(cuts, cuts[1:]):
+        own, n = np.unique(d[a:b], return_counts=True)
+        docs.append(own.tobytes())
+        counts.append(n.astype(np.int32).tobytes())
+        hashes.append(raw[a:b].tobytes())
+    at = bucket[cuts[:-1]] if len(bucket) else bucket
+    return pa.table({"bucket": pa.array(at, pa.int64()), "kind": pa.array(np.full(len(at), kind), pa.int32()), "docs": pa.array(docs, pa.binary()), "counts": pa.array(counts, pa.binary()), "hashes": pa.array(hashes, pa.binary())})
 
 
 PACKED = "bucket long, kind int, docs binary, counts binary, hashes binary"
 
 
-def answered(rows: DataFrame, smaller: bool) -> DataFrame:
-    """(doc_id, hashes): the hashes of each document that others share, by bucket."""
+def answered(rows: DataFrame, smaller: bool, buckets: int) -> DataFrame:
+    """(doc_id, hashes), a row a document: its hashes that others share.
+
+    Buckets of hashes find them; their answers travel packed to buckets of documents, which put each together.
+    """
     width = 8 if smaller else 5
 
     def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -98,36 +113,32 @@ def answered(rows: DataFrame, smaller: bool) -> DataFrame:
 
     def match(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
+        passed = table.filter(pa.array(kind == 1)).select(["bucket", "kind", "docs", "counts", "hashes"])
         h, d = unpack(table.filter(pa.array(kind == 0)))
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
         first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-        lows = d[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else d
         if smaller:
-            told = d > lows
+            told = d > d[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else first
         else:
             told = np.concatenate([h[1:] == h[:-1], [False]])[: len(h)] | ~first
-        h1, d1 = unpack(table.filter(pa.array(kind == 1)))
-        h, d = np.concatenate([h[told], h1]), np.concatenate([d[told], d1])
+        return pa.concat_tables([passed, packets(owner(d[told], buckets).astype(np.int64), 1, h[told], d[told], width)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        h, d = unpack(table)
         order = np.argsort(d, kind="stable")
-        h, d = h[order], d[order]
         own, n = np.unique(d, return_counts=True)
-        raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        raw = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
         cuts = (np.concatenate([[0], np.cumsum(n)]) * width).tolist()
         return pa.table({"doc_id": pa.array(own, pa.int64()), "hashes": pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(match, "doc_id long, hashes binary")
-
-
-def by_document(told: DataFrame) -> DataFrame:
-    """A document's parts together: as many bytes as it has repeats."""
-    return told.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    return rows.groupBy("bucket").applyInArrow(match, PACKED).groupBy("bucket").applyInArrow(gather, "doc_id long, hashes binary")
 
 
-def known(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+def known(batch: pa.RecordBatch, column: str, width: int) -> list[np.ndarray]:
     out = []
-    for parts in batch.column("hashes").to_pylist():
-        raw = np.frombuffer(b"".join(parts or []), np.uint8).reshape(-1, width)
+    for raw in batch.column(column).to_pylist():
+        raw = np.frombuffer(raw or b"", np.uint8).reshape(-1, width)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :width] = raw
         out.append(np.unique(wide.view(np.uint64).ravel()))
@@ -148,6 +159,7 @@ def repeats(documents: DataFrame, window: int = 13, period: int = 7) -> DataFram
     length = window - period + 1
 
     def anchored(batches):
+        release()
         for batch in batches:
             words, at = batch_words(batch.column("text"))
             start = anchor_places(at, window, period)
@@ -158,7 +170,7 @@ def repeats(documents: DataFrame, window: int = 13, period: int = 7) -> DataFram
                 if rows is not None:
                     yield rows
 
-    shared = cut(answered(texts.mapInArrow(anchored, PACKED), False), "shared-anchors")
+    shared = cut(answered(texts.mapInArrow(anchored, PACKED), False, buckets), "shared-anchors")
 
     def extended(batches):
         for batch in batches:
@@ -170,7 +182,7 @@ def repeats(documents: DataFrame, window: int = 13, period: int = 7) -> DataFram
             h = grams(words, length)[start] & ANCHOR
             hit = np.zeros(len(words) + 1, np.int64)
             cuts = np.searchsorted(start, at).tolist()
-            for k, own in enumerate(known(batch, 5)):
+            for k, own in enumerate(known(batch, "hashes", 5)):
                 a, b = cuts[k], cuts[k + 1]
                 hit[start[a:b][among(h[a:b], own)]] = 1
             total = np.concatenate([[0], np.cumsum(hit)])
@@ -181,8 +193,8 @@ def repeats(documents: DataFrame, window: int = 13, period: int = 7) -> DataFram
             if rows is not None:
                 yield rows
 
-    near = texts.join(by_document(shared), "doc_id")
-    return cut(answered(near.mapInArrow(extended, PACKED), True), "repeated-windows")
+    near = texts.join(shared, "doc_id")
+    return cut(answered(near.mapInArrow(extended, PACKED), True, buckets), "repeated-windows")
 
 
 def kept_words(text: str, gone: np.ndarray) -> bytes:
@@ -195,10 +207,10 @@ def remove_repeats(documents: DataFrame, window: int = 13, period: int = 7, dige
     """doc_id, n_words, n_removed and kept_sha256; or (``digest`` false) the documents' own columns, the
     text without repeated windows' words and n_chars to match. A text that loses nothing stays as it is."""
     tune(documents.sparkSession)
-    told = by_document(repeats(documents, window, period))
+    told = repeats(documents, window, period)
     rows = only(documents, doc_id="long", text="string") if digest else documents
     names, kinds = rows.columns, rows.schema
-    joined = rows.join(told.select(F.col("doc_id").alias("_told_id"), "hashes"), F.col("doc_id") == F.col("_told_id"), "left").drop("_told_id")
+    joined = rows.join(told.select(F.col("doc_id").alias("_told_id"), F.col("hashes").alias("_told")), F.col("doc_id") == F.col("_told_id"), "left").drop("_told_id")
 
     def strip(batches):
         for batch in batches:
@@ -206,7 +218,7 @@ def remove_repeats(documents: DataFrame, window: int = 13, period: int = 7, dige
             words, at = batch_words(texts)
             h = grams(words, window)
             removed, out = [], []
-            for k, (text, own) in enumerate(zip(texts.to_pylist(), known(batch, 8))):
+            for k, (text, own) in enumerate(zip(texts.to_pylist(), known(batch, "_told", 8))):
                 n = int(at[k + 1] - at[k])
                 gone = np.zeros(n, bool)
                 if len(own) and n >= window:

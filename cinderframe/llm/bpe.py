@@ -124,7 +124,7 @@ class BpeCoder:
         """Whether merging by rank leaves these two tokens as they are where they meet: a memoised table."""
         fit = self.fits.get((left, right))
         if fit is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 300_000:
                 self.fits.clear()
             fit = self.fits[left, right] = self._meet(left, right, False)
         return fit
@@ -166,8 +166,11 @@ class BpeCoder:
         """The same automaton and compatibility table as arrays, to step many words at once."""
         inner = {"": 0} | {p: n for n, p in enumerate(sorted({s[:k] for s in whole for k in range(1, len(s))}), 1)}
         self.letter = {c: n for n, c in enumerate(sorted({c for s in whole for c in s}), 1)}
-        self.next_node = np.full((len(inner) + 1, len(self.letter) + 1), len(inner), np.int32)  # the last node is the end
-        self.next_token = np.full((len(inner) + 1, len(self.letter) + 1), -1, np.int32)
+        small = max(len(inner), *whole.values()) < 0xFFFF
+        kind = np.uint16 if small else np.uint32
+        self.no_token = np.iinfo(kind).max
+        self.next_node = np.full((len(inner) + 1, len(self.letter) + 1), len(inner), kind)  # the last node is the end
+        self.next_token = np.full((len(inner) + 1, len(self.letter) + 1), self.no_token, kind)
         for p, n in inner.items():
             if p:
                 self.next_node[inner[p[:-1]], self.letter[p[-1]]] = n
@@ -212,7 +215,7 @@ class BpeCoder:
             keep = at < stop[where]
             where, node, at = where[keep], node[keep], at[keep]
             found = self.next_token[node, flat[at]]
-            hit = found >= 0
+            hit = found != self.no_token
             best[where[hit]] = found[hit]
             node = self.next_node[node, flat[at]]
             keep = node < len(self.next_node) - 1
@@ -320,6 +323,11 @@ class BpeCoder:
         known = self.chunks.__getitem__
         return [b"".join(map(known, chunks)) for chunks in split]
 
+    def shrink(self) -> None:
+        """Between tasks only the younger half of the stretches stays."""
+        self.older = {}
+        self.words.clear()
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -334,10 +342,10 @@ class BpeCoder:
         return self.blob[at[:-1]].tobytes()
 
 
-@lru_cache(maxsize=2)
-def coder(path: str) -> BpeCoder:
+@lru_cache(maxsize=1)
+def coder(path: str, cache: int = 350_000) -> BpeCoder:
     """One coder per Python worker."""
-    return BpeCoder(path)
+    return BpeCoder(path, cache)
 
 
 def bpe_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -356,9 +364,10 @@ def bpe_digests(documents: DataFrame, vocabulary: str) -> DataFrame:
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
                 digest = hashlib.sha256()
                 ids = np.frombuffer(raw, "<u4")
-                for k in range(0, len(ids), 1 << 20):  # pieces bound the memory; a blank parts them
-                    digest.update((b" " if k else b"") + c.decode(ids[k : k + (1 << 20)]))
+                for k in range(0, len(ids), 1 << 18):  # pieces bound the memory; a blank parts them
+                    digest.update((b" " if k else b"") + c.decode(ids[k : k + (1 << 18)]))
                 text_sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.shrink()
 
     return only(documents, doc_id="long", text="string").mapInArrow(run, SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 import tempfile
 import uuid
 
@@ -12,12 +13,19 @@ from pyspark.sql import functions as F
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def tune(spark: SparkSession, batch_mb: int = 8, batch_rows: int = 4000) -> None:
+def tune(spark: SparkSession, batch_mb: int = 4, batch_rows: int = 4000) -> None:
     """Bound the Arrow batches that Python workers hold, in bytes and in rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{batch_mb}m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
 
 
+def release() -> None:
+    """Free what an operator before has left in this Python worker: called at the start of others' tasks."""
+    bpe = sys.modules.get(f"{__package__}.bpe")
+    if bpe is not None:
+        bpe.coder.cache_clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -156,7 +156,7 @@ def count_edits(documents: DataFrame, edits: DataFrame, vocabulary: str) -> Data
     steps = steps.select("doc_id", F.lit(1).alias("kind"), "seq", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("length", F.lit(0)).alias("length"), F.coalesce("insertion", F.lit("")).alias("text"))
 
     def run(batches):
-        c, held, rows = coder(vocabulary), None, []
+        c, held, rows = coder(vocabulary, 150_000), None, []
 
         def done():
             doc, tree, first, n = held
@@ -184,6 +184,7 @@ def count_edits(documents: DataFrame, edits: DataFrame, vocabulary: str) -> Data
                 yield flush()
         if held is not None:
             done()
+        c.shrink()
         if rows:
             yield flush()
 

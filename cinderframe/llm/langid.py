@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, tune
+from .common import only, release, tune
 from .wordhash import LOWER
 
 UNKNOWN = "und"
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, sample: int = 2400, landmarks: int = 240, ridge: fl
     return fit_rows(x, [r["lang"] for r in got], landmarks, ridge)
 
 
-def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: int = 15, rows: int = 64) -> DataFrame:
+def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: int = 15, rows: int = 32) -> DataFrame:
     """The documents' columns with lang_pred and score after them. No shuffle; the model travels with the tasks."""
     tune(documents.sparkSession)
     spectrum = Spectrum(longest, bits)
@@ -121,6 +121,7 @@ def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: i
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
     def run(batches):
+        release()
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))

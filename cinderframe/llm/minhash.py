@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, tune
+from .common import cut, only, release, tune
 from .components import components
 from .streams import by_group
 from .wordhash import LOWER, batch_words, grams, mix
@@ -146,6 +146,7 @@ def near_documents(documents: DataFrame, percent: int = 80, size: int = 5, bands
     texts = only(documents, doc_id="long", text="string")
 
     def signed(batches):
+        release()
         signer = Signer(bands * rows, seed)
         for batch in batches:
             n, digests, keys = [], [], []

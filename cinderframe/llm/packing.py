@@ -130,6 +130,7 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int = 2048, linear: fl
                     yield rows()
             del ids_of
         close()
+        c.shrink()
         yield rows()
 
     return only(documents, doc_id="long", text="string").mapInArrow(run, SCHEMA)

@@ -63,7 +63,7 @@ def close_pairs(rows, threshold):
     links = []
     for k, (a, u, g) in enumerate(good):
         for b, v, h in good[k + 1 :]:
-            if g == h and u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= threshold:
+            if g == h and len(u) == len(v) and u @ v / np.linalg.norm(u) / np.linalg.norm(v) >= threshold:
                 links.append((a, b))
     n = defaultdict(int)
     for a, b in links:
