@@ -166,9 +166,9 @@ def elevation_gradient(spark, sf_dir):
     return rounded(grid.gradient(land.cells(spark, sf_dir).select("i", "j", "elevation"), "elevation"), "d_di", "d_dj").select("i", "j", "d_di", "d_dj")
 
 
-@query(f"WITH {land.CELLS} SELECT CAST(min(i) AS INT) AS min_i, CAST(max(i) AS INT) AS max_i, CAST(min(j) AS INT) AS min_j, CAST(max(j) AS INT) AS max_j FROM cells WHERE slope > 0.07")
+@query(f"WITH {land.CELLS} SELECT CAST(min(i) AS INT) AS min_i, CAST(max(i) AS INT) AS max_i, CAST(min(j) AS INT) AS min_j, CAST(max(j) AS INT) AS max_j FROM cells WHERE slope > 0.058")
 def data_bounds(spark, sf_dir):
-    return grid.bounding_box(land.cells(spark, sf_dir), F.col("slope") > 0.07)
+    return grid.bounding_box(land.cells(spark, sf_dir), F.col("slope") > 0.058)
 
 
 @query(f"WITH {land.CELLS} SELECT CAST(COALESCE(min(i) FILTER (v >= 0), 0) AS INT) AS first_row, CAST(COALESCE(max(i) FILTER (v >= 0) + 1, 0) AS INT) AS end_row FROM (SELECT i, aspect - 350 AS v FROM cells)")
@@ -357,13 +357,13 @@ k1 AS (SELECT *, canopy_cover > 40 AND fli > 0 AND canopy_base_height > 0 AND fl
  11.02e0 * pow(u20 * 1.609344e0 / 0.87e0, 0.9e0) * pow(bulk_density * 16.025641025641026e0, 0.19e0) * exp(-0.17e0 * m * 100) AS active, 3 / (bulk_density * 16.025641025641026e0) AS critical FROM k0)"""
 
 
-@query(f"WITH {_CROWN} SELECT i, j, crowns, round(3.281e0 * CASE WHEN active > critical THEN active ELSE -active * exp(-active / critical) END, 6) AS rate, round(fli * bulk_density * (canopy_height - canopy_base_height) * 8000 / 60, 4) AS intensity, round(sqrt(pow(1 + 0.125e0 * u20, 2) - 1) / (1 + 0.125e0 * u20), 6) AS eccentricity FROM k1")
+@query(f"WITH {_CROWN} SELECT i, j, crowns, round(3.281e0 * CASE WHEN active > critical THEN active ELSE -active * exp(-active / critical) END, 6) AS rate, fli * bulk_density * (canopy_height - canopy_base_height) * 8000 / 60 AS intensity, round(sqrt(pow(1 + 0.125e0 * u20, 2) - 1) / (1 + 0.125e0 * u20), 6) AS eccentricity FROM k1")
 def crown_fire(spark, sf_dir):
     c = land.cells(spark, sf_dir).withColumns({"fli": F.col("elevation") * 10.0, "u20": F.col("canopy_cover") * 0.5, "m": 0.03 + F.col("slope") * 0.5})
     return c.select(
         "i", "j", crown.initiates(F.col("canopy_cover"), F.col("canopy_base_height"), F.lit(0.9), F.col("fli")).alias("crowns"),
         F.round(crown.spread(F.col("u20"), F.col("bulk_density"), F.col("m")), 6).alias("rate"),
-        F.round(crown.intensity(F.col("fli"), F.col("bulk_density"), F.col("canopy_height") - F.col("canopy_base_height"), F.lit(8000.0)), 4).alias("intensity"),
+        crown.intensity(F.col("fli"), F.col("bulk_density"), F.col("canopy_height") - F.col("canopy_base_height"), F.lit(8000.0)).alias("intensity"),
         F.round(crown.eccentricity(F.col("u20"), F.lit(1.0)), 6).alias("eccentricity"),
     )
 
