@@ -59,18 +59,22 @@ class Model:
         self.languages, self.weights, self.bias = languages, weights, bias
 
 
-def fit_rows(sets: np.ndarray, labels: list[str], landmarks: int, ridge: float) -> Model:
-    """Nyström kernel ridge regression on presence rows."""
+def fit_rows(sets: np.ndarray, labels: list[str], landmarks: int, ridge: float, block: int = 256) -> Model:
+    """Nyström kernel ridge regression on presence rows of packed bits; unpacked in blocks, so that the driver stays small."""
     languages = sorted(set(labels))
-    x = sets.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    def unit(packed: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(packed, axis=1).astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return x
+
     turn = np.argsort(np.concatenate([np.arange(labels.count(g)) for g in languages]), kind="stable")  # languages take turns
     by_language = np.argsort(np.array([languages.index(g) for g in labels]), kind="stable")
-    marks = x[by_language[turn][:landmarks]]
+    marks = unit(sets[by_language[turn][:landmarks]])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-6 * value[-1]
     root = vector[:, keep] / np.sqrt(value[keep])  # K_mm to the power -1/2, up to a rotation
-    phi = (x @ marks.T).astype(np.float64) @ root
+    phi = np.concatenate([(unit(sets[k : k + block]) @ marks.T).astype(np.float64) for k in range(0, len(sets), block)]) @ root
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None], 1.0, -1.0)
     mean, level = phi.mean(0), y.mean(0)
     # every language weighs the same, else a rare one would drown
@@ -109,7 +113,7 @@ def fit(labelled: DataFrame, sample: int = 2400, landmarks: int = 240, ridge: fl
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], r["bits"]))
-    x = np.unpackbits(np.array([np.frombuffer(r["bits"], np.uint8) for r in got]), axis=1)
+    x = np.array([np.frombuffer(r["bits"], np.uint8) for r in got])
     return fit_rows(x, [r["lang"] for r in got], landmarks, ridge)
 
 
