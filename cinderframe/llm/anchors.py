@@ -73,8 +73,10 @@ def packed(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, buckets: int,
 
 
 def owner(docs: np.ndarray, buckets: int) -> np.ndarray:
-    """Where a document's answers meet."""
-    return mix(docs.astype(np.uint64)) % np.uint64(buckets)
+    """Where a document's answers meet: half as many places as buckets, as only shared hashes go there.
+
+    Every bucket sends each place at most one row, so their product bounds the rows, whatever the groups' sizes."""
+    return mix(docs.astype(np.uint64)) % np.uint64(max(1, buckets // 2))
 
 
 def packets(bucket: np.ndarray, kind: int, h: np.ndarray, d: np.ndarray, width: int) -> pa.Table:
@@ -155,7 +157,7 @@ def repeats(documents: DataFrame, window: int = 13, period: int = 7) -> DataFram
     """(doc_id, hashes): for each document the hashes of its repeated windows."""
     spark = documents.sparkSession
     texts = only(documents, doc_id="long", text="string").where("doc_id IS NOT NULL")
-    buckets = 4 * tasks(spark)
+    buckets = 2 * tasks(spark)
     length = window - period + 1
 
     def anchored(batches):
