@@ -118,7 +118,10 @@ def fit(labelled: DataFrame, sample: int = 2400, landmarks: int = 240, ridge: fl
 
 
 def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: int = 15, rows: int = 32) -> DataFrame:
-    """The documents' columns with lang_pred and score after them. No shuffle; the model travels with the tasks."""
+    """The documents' columns with lang_pred, score and has_letter after them. No shuffle; the model travels with the tasks.
+
+    has_letter, never null, is false for null and empty texts and those without any letter; it needs no model.
+    """
     tune(documents.sparkSession)
     spectrum = Spectrum(longest, bits)
     names = documents.columns
@@ -129,7 +132,8 @@ def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: i
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            usable = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+            letter = [bool(t and LETTER.search(t)) for t in texts]
+            usable = [k for k, has in enumerate(letter) if has] if model else []
             for a in range(0, len(usable), rows):
                 part = usable[a : a + rows]
                 sets = np.zeros((len(part), 1 << bits))
@@ -140,9 +144,9 @@ def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: i
                 best = f.argmax(1)
                 for k, b, s in zip(part, best.tolist(), f[np.arange(len(part)), best].tolist()):
                     lang[k], score[k] = model.languages[b], min(1.0, max(0.0, (s + 1) / 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(letter, pa.bool_())], [*names, "lang_pred", "score", "has_letter"])
 
-    return documents.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return documents.mapInArrow(run, f"{schema}, lang_pred string, score double, has_letter boolean")
 
 
 def held_out() -> Column:

@@ -19,9 +19,9 @@ from cinderframe.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those predicted ``und`` go."""
+    """Documents with a letter in their text, whatever language is predicted and also if none could be learned."""
     model = langid.fit(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
-    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.predict(docs, model).where("has_letter").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,14 @@ def test_stages_keep_columns(spark):
     assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1]
 
 
+def test_language_id_keeps_texts_with_letters(spark):
+    """Also if no label can be learned from, and if ``und`` is a label itself."""
+    texts = {1: "some words of a text", 2: None, 3: "", 4: "1 2 3", 5: "andere Worte", 6: "한국어"}
+    for lang in (None, "und"):
+        docs = spark.createDataFrame([(i, t, lang, "s", 9) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [1, 5, 6]
+
+
 def test_stages_on_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
