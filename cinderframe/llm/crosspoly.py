@@ -7,7 +7,8 @@ the original vectors, and each query keeps its nearest. An axis with many rows o
 in blocks, so the most frequent vector spreads over tasks; the number of axes is fixed by the dimension.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
-different lengths never meet. Rows of one id count once; ties go to the smaller id.
+different lengths never meet. Rows of one id count once, with the best score of its vectors; ties go to
+the smaller id.
 An empty table, or one without queries, gives no rows.
 """
 
@@ -59,7 +60,7 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 5, tables: int = 6, pr
     tune(spark)
     dtype = element_type(embeddings)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable_vector() & F.col("vec_id").isNotNull())
-    rows = rows.withColumn("asks", F.expr(queries))
+    rows = rows.distinct().withColumn("asks", F.expr(queries))
 
     def hashed(batches):
         """Every row once under its axis in each table (side 0); queries also under each probe (side 1)."""
@@ -86,7 +87,7 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 5, tables: int = 6, pr
     counts = counts.where("rows > 0 AND asks > 0").select("size", "tab", "axis", F.ceil(F.col("rows") / block).alias("row_blocks"), F.ceil(F.col("asks") / block).alias("ask_blocks"))
     dealt = index.join(F.broadcast(counts), ["size", "tab", "axis"])
     ask = F.col("side") == 1
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(ask, F.col("ask_blocks")).otherwise(F.col("row_blocks"))))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", "vec"), F.when(ask, F.col("ask_blocks")).otherwise(F.col("row_blocks"))))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(ask, F.col("row_blocks")).otherwise(F.col("ask_blocks")) - 1)))
     dealt = dealt.withColumn("g", F.xxhash64("size", "tab", "axis", F.when(ask, F.col("other")).otherwise(F.col("own")), F.when(ask, F.col("own")).otherwise(F.col("other"))))
 
@@ -96,20 +97,27 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 5, tables: int = 6, pr
         q, c = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         if not len(q) or not len(c):
             return None
-        order = np.argsort(ids[c], kind="stable")
-        c = c[order]
+        q, c = q[np.argsort(ids[q], kind="stable")], c[np.argsort(ids[c], kind="stable")]
+        (asking, q_first, q_of), (met, c_first, c_of) = (np.unique(ids[x], return_index=True, return_inverse=True) for x in (q, c))
         vec = unit(matrix(group.column("vec"), dtype))
         cos = vec[q] @ vec[c].T
         cos[ids[q][:, None] == ids[c][None]] = -np.inf
-        top = min(k, len(c))
-        floor = -np.partition(-cos, top - 1, 1)[:, top - 1] - 1e-9  # keeps all that rounding could rank there
-        i, j = np.nonzero((cos >= floor[:, None]) & np.isfinite(cos))
+        best = np.maximum.reduceat(np.maximum.reduceat(cos, q_first, 0), c_first, 1)  # of all rows of two ids
+        top = min(k, len(met))
+        floor = -np.partition(-best, top - 1, 1)[:, top - 1] - 1e-9  # keeps all that rounding could rank there
+        i, j = np.nonzero((cos >= floor[q_of][:, None]) & np.isfinite(cos))
         exact = (vec[q[i]] * vec[c[j]]).sum(1)
-        ranked = np.lexsort((ids[c[j]], -exact, i))
+        i, j = q_of[i], c_of[j]
+        pairs = np.lexsort((-exact, j, i))
+        i, j, exact = i[pairs], j[pairs], exact[pairs]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        i, j, exact = i[new], j[new], exact[new]
+        ranked = np.lexsort((j, -exact, i))
         i, j, exact = i[ranked], j[ranked], exact[ranked]
         place = np.arange(len(i)) - np.searchsorted(i, i)
         keep = place < k
-        return pa.RecordBatch.from_arrays([pa.array(ids[q[i[keep]]]), pa.array(ids[c[j[keep]]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(asking[i[keep]]), pa.array(met[j[keep]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
 
     found = by_group(dealt.select("g", "side", "id", "vec"), score, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

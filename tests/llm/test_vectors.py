@@ -63,6 +63,21 @@ def test_nearest(vectors, empty):
     assert crosspoly.nearest(empty, "vec_id % 50 = 0").count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    """Copies of a row and other vectors of an id push no other id out."""
+    rng = np.random.default_rng(6)
+    near = [(k, (np.eye(16)[0] + 0.01 * rng.standard_normal(16)).astype(np.float32).tolist(), 1) for k in range(12)]
+    rows = [r for r in near for _ in range(6)] + [(k, [x * 0.9 + 0.01 for x in v], 1) for k, v, _ in near[:4]]
+    unit = {k: [np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v, _ in rows if i == k] for k in range(12)}
+    want = {q: [i for _, i in sorted((-max(np.float64(a @ b) for a in unit[q] for b in unit[i]), i) for i in unit if i != q)[:5]] for q in unit}
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)
+    for block in (1024, 2):
+        got = {}
+        for r in sorted(crosspoly.nearest(df, "vec_id >= 0", probes=32, block=block).collect(), key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_recall(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
