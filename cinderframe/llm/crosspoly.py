@@ -5,6 +5,7 @@ and a fast Hadamard transform. Rows are stored under their axis in every table;
 ``probes`` nearest axes of each. Rows and queries that meet are scored exactly, in double precision on
 the original vectors, and each query keeps its nearest. An axis with many rows or queries is dealt out
 in blocks, so the most frequent vector spreads over tasks; the number of axes is fixed by the dimension.
+Queries that meet fewer than k other ids so are scored against all rows of their length, in such blocks too.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
 different lengths never meet. Rows of one id count once, with the best score of its vectors; ties go to
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import cut, forget, tune
 from .streams import by_group
 from .vectors import as_bytes, element_type, matrix, unit, usable_vector
 
@@ -81,15 +82,21 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 5, tables: int = 6, pr
                         n = len(at)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, size, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(axis.ravel().astype(np.int32)), pa.array(np.full(n, side, np.int32)), pa.array(who[at]), vec.take(pa.array(at))], ["size", "tab", "axis", "side", "id", "vec"])
 
-    index = rows.mapInArrow(hashed, "size int, tab int, axis int, side int, id long, vec binary")
-    # as many counts as there are axes: 2 * dimension * tables, whatever the number of rows
-    counts = index.groupBy("size", "tab", "axis").agg(F.count(F.when(F.col("side") == 0, 1)).alias("rows"), F.count(F.when(F.col("side") == 1, 1)).alias("asks"))
-    counts = counts.where("rows > 0 AND asks > 0").select("size", "tab", "axis", F.ceil(F.col("rows") / block).alias("row_blocks"), F.ceil(F.col("asks") / block).alias("ask_blocks"))
-    dealt = index.join(F.broadcast(counts), ["size", "tab", "axis"])
-    ask = F.col("side") == 1
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id", "vec"), F.when(ask, F.col("ask_blocks")).otherwise(F.col("row_blocks"))))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(ask, F.col("row_blocks")).otherwise(F.col("ask_blocks")) - 1)))
-    dealt = dealt.withColumn("g", F.xxhash64("size", "tab", "axis", F.when(ask, F.col("other")).otherwise(F.col("own")), F.when(ask, F.col("own")).otherwise(F.col("other"))))
+    def flat(batches):
+        """Every row once, as a row that queries meet."""
+        for batch in batches:
+            lists = batch.column("embedding")
+            yield pa.RecordBatch.from_arrays([lists.value_lengths(), pa.array(np.zeros(len(lists), np.int32)), batch.column("vec_id"), as_bytes(lists, dtype)], ["size", "side", "id", "vec"])
+
+    def dealt(index: DataFrame, *place: str) -> DataFrame:
+        """Rows and queries of each place, in blocks; ``g`` is a pair of blocks that meet."""
+        counts = index.groupBy(*place).agg(F.count(F.when(F.col("side") == 0, 1)).alias("rows"), F.count(F.when(F.col("side") == 1, 1)).alias("asks"))
+        counts = counts.where("rows > 0 AND asks > 0").select(*place, F.ceil(F.col("rows") / block).alias("row_blocks"), F.ceil(F.col("asks") / block).alias("ask_blocks"))
+        out = index.join(F.broadcast(counts), list(place))
+        ask = F.col("side") == 1
+        out = out.withColumn("own", F.pmod(F.xxhash64("id", "vec"), F.when(ask, F.col("ask_blocks")).otherwise(F.col("row_blocks"))))
+        out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(ask, F.col("row_blocks")).otherwise(F.col("ask_blocks")) - 1)))
+        return out.withColumn("g", F.xxhash64(*place, F.when(ask, F.col("other")).otherwise(F.col("own")), F.when(ask, F.col("own")).otherwise(F.col("other")))).select("g", "side", "id", "vec")
 
     def score(group: pa.Table) -> pa.RecordBatch | None:
         group = group.combine_chunks()
@@ -119,7 +126,21 @@ def nearest(embeddings: DataFrame, queries: str, k: int = 5, tables: int = 6, pr
         keep = place < k
         return pa.RecordBatch.from_arrays([pa.array(asking[i[keep]]), pa.array(met[j[keep]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
 
-    found = by_group(dealt.select("g", "side", "id", "vec"), score, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(pairs: DataFrame) -> DataFrame:
+        found = by_group(pairs, score, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    # as many counts as there are axes: 2 * dimension * tables, whatever the number of rows
+    index = rows.mapInArrow(hashed, "size int, tab int, axis int, side int, id long, vec binary")
+    top = cut(best(dealt(index, "size", "tab", "axis")), "neighbours")
+    whole = top.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = cut(rows.where("asks").select(F.col("vec_id").alias("id")).distinct().join(whole, "id", "left_anti"), "short")
+    if short.isEmpty():
+        forget(short)
+        return top
+    # the rest meet every row of their length
+    plain = rows.mapInArrow(flat, "size int, side int, id long, vec binary")
+    asked = plain.withColumn("side", F.lit(1)).join(short, "id", "left_semi").select(*plain.columns)
+    rest = best(dealt(plain.unionByName(asked), "size"))
+    return top.join(short, top["query_id"] == short["id"], "left_anti").unionByName(rest)

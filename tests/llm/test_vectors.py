@@ -78,6 +78,21 @@ def test_nearest_of_repeated_rows(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("n", [3, 4, 6])
+def test_nearest_of_few_rows(spark, n):
+    """As many neighbours as there are, with default parameters: opposite and unrelated vectors too."""
+    rng = np.random.default_rng(n)
+    v = rng.standard_normal((n, 64))
+    v[1] = -v[0]
+    m = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(2)
+    got = {}
+    for r in sorted(crosspoly.nearest(df, "vec_id != 2").collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = {q: sorted((k for k in range(n) if k != q), key=lambda k: -(m[q] @ m[k]))[:5] for q in range(n) if q != 2}
+    assert got == {q: list(enumerate(ids, 1)) for q, ids in want.items()}
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_recall(spark, sf):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
