@@ -42,30 +42,22 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float)
     """
     total = sum(lengths)
     rooms = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1]
-    left, pieces = rooms[:], []
-    lightest = [(0.0, s) for s in range(len(rooms))]
-    heapq.heapify(lightest)
+    left, cost, pieces = np.array(rooms, np.int64), np.zeros(len(rooms)), []
 
     def put(rest: int, start: int, n: int, s: int) -> None:
-        pieces.append((rest, start, n, s, rooms[s] - left[s]))
+        pieces.append((rest, start, n, s, int(rooms[s] - left[s])))
         left[s] -= n
 
     cut = []
     for rest in sorted(range(len(lengths)), key=lambda r: (-lengths[r], r)):
-        n, tight = lengths[rest], []
-        while lightest and left[lightest[0][1]] < n:
-            tight.append(heapq.heappop(lightest))
-            if len(tight) >= 64:  # the room left shrinks with the cost: far more tries would find little
-                break
-        if lightest and left[lightest[0][1]] >= n:
-            cost, s = heapq.heappop(lightest)
+        n = lengths[rest]
+        s = int(np.where(left >= n, cost, np.inf).argmin())  # the first of equal costs
+        if left[s] >= n:
             put(rest, 0, n, s)
-            if left[s]:
-                heapq.heappush(lightest, (cost + cost_of(n, linear, quadratic), s))
+            cost[s] += cost_of(n, linear, quadratic)
         else:
             cut.append(rest)
-        for x in tight:
-            heapq.heappush(lightest, x)
+    left = left.tolist()
     roomy = [(-room, s) for s, room in enumerate(left) if room]
     heapq.heapify(roomy)
     for rest in cut:

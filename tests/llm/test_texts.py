@@ -108,6 +108,23 @@ def test_balance_evens_cost():
     assert all(load[s] == room for s, room in enumerate(rooms)) and sum(load.values()) == sum(lengths)
 
 
+def test_balance_finds_the_lowest_cost_with_room():
+    """Over 64 cheaper sequences without room do not hide a dearer one that has it."""
+    mixed = random.Random(3)
+    for lengths in ([1500] * 100 + [600] * 300 + [500] * 100 + [248] * 119, [mixed.randint(1, 2047) for _ in range(600)]):
+        pieces, rooms = packing.balance(lengths, 2048, 1.0, 1 / 1024)
+        left, cost, want = rooms[:], [0.0] * len(rooms), {}
+        for rest in sorted(range(len(lengths)), key=lambda r: (-lengths[r], r)):
+            n = lengths[rest]
+            if fits := [(cost[s], s) for s in range(len(rooms)) if left[s] >= n]:
+                s = min(fits)[1]
+                want[rest] = (n, s, rooms[s] - left[s])
+                left[s], cost[s] = left[s] - n, cost[s] + n + n * n / 1024
+        whole = {rest: (n, s, offset) for rest, _, n, s, offset in pieces if n == lengths[rest]}
+        assert {rest: whole.get(rest) for rest in want} == want
+        assert len(rooms) > 64 and sum(p[2] for p in pieces) == sum(lengths)
+
+
 def test_near_documents(docs, empty, spark):
     for percent in (80, 85):
         want = brute.near(DOCS, percent)
