@@ -6,19 +6,18 @@ over the root of the product of their sizes. ``landmarks`` training texts give a
 kernel ridge regression per language (one against the rest) is fitted. As the kernel is linear in presence,
 landmarks and weights fold into one matrix; texts are scored by batched products with it.
 
-Fitting takes a bounded sample, ``sample`` rows over all languages, from the rows that ``trainable`` admits,
-by hash of doc_id; predicting covers every whole text, in blocks for very long ones.
+Fitting takes a bounded sample, ``sample`` rows over all languages, by hash of doc_id and text, equal rows
+once; predicting covers every whole text, in blocks for very long ones.
 
-The prediction is ``und`` with score 0 if the text is null, empty or has no letter, or if nothing could be
-learned. Equal scores go to the language first in order. Copies get equal results. An empty table gives no rows.
+The prediction is ``und`` with score 0 if the text is null, empty or has no letter (Unicode category L: neither
+digits nor fractions or circled numbers are), or if nothing could be learned. Equal scores go to the language first in order. Copies get equal results. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from .common import only, release, tune
 from .wordhash import LOWER
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 class Spectrum:
@@ -86,18 +85,19 @@ def fit_rows(sets: np.ndarray, labels: list[str], landmarks: int, ridge: float,
 def fit(labelled: DataFrame, sample: int = 2400, landmarks: int = 240, ridge: float = 1e-3, longest: int = 3, bits: int = 15) -> Model | None:
     """Fit on a sample of (doc_id, text, lang) rows of at most about ``sample`` rows; only feature sets reach the driver.
 
-    Each language gives an equal share of rows, those of smallest hash.
+    Each language gives an equal share of rows, those of smallest hash; so does the bound, if the draw oversteps it.
     """
     spark = labelled.sparkSession
     tune(spark)
     rows = only(labelled, doc_id="long", text="string", lang="string").where("text IS NOT NULL AND lang IS NOT NULL AND text != ''")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
     if not counts:
         return None
     share = max(1, sample // len(counts))
     rate = F.create_map(*(F.lit(v) for g, n in counts.items() for v in (g, min(1.0, share / n))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    picked = rows.where(place < rate[F.col("lang")])
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
+    share_of = (place / rate[F.col("lang")]).alias("place")
+    picked = rows.select("text", "lang", share_of).where("place < 1").dropDuplicates()
     spectrum = Spectrum(longest, bits)
 
     def sets(batches):
@@ -107,9 +107,9 @@ def fit(labelled: DataFrame, sample: int = 2400, landmarks: int = 240, ridge: fl
                 mark = np.zeros(1 << bits, np.uint8)
                 spectrum.presence(text_bytes(text), mark)
                 out.append(np.packbits(mark).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["lang", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], ["lang", "place", "bits"])
 
-    got = picked.orderBy("doc_id").limit(2 * sample + len(counts)).select("text", "lang").mapInArrow(sets, "lang string, bits binary").collect()
+    got = picked.mapInArrow(sets, "lang string, place double, bits binary").orderBy("place", "lang", "bits").limit(2 * sample + len(counts)).collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["lang"], r["bits"]))
@@ -117,13 +117,15 @@ def fit(labelled: DataFrame, sample: int = 2400, landmarks: int = 240, ridge: fl
     return fit_rows(x, [r["lang"] for r in got], landmarks, ridge)
 
 
-def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: int = 15, rows: int = 32) -> DataFrame:
-    """The documents' columns with lang_pred, score and has_letter after them. No shuffle; the model travels with the tasks.
+def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: int = 15, rows: int = 32, into: tuple[str, str, str] = ("lang_pred", "score", "has_letter")) -> DataFrame:
+    """The documents' columns with those of ``into`` after them. No shuffle; the model travels with the tasks.
 
     has_letter, never null, is false for null and empty texts and those without any letter; it needs no model.
+    Columns of the documents that bear a name of ``into`` give way to the results.
     """
     tune(documents.sparkSession)
     spectrum = Spectrum(longest, bits)
+    documents = documents.drop(*(c for c in documents.columns if c.lower() in into))
     names = documents.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
@@ -144,9 +146,9 @@ def predict(documents: DataFrame, model: Model | None, longest: int = 3, bits: i
                 best = f.argmax(1)
                 for k, b, s in zip(part, best.tolist(), f[np.arange(len(part)), best].tolist()):
                     lang[k], score[k] = model.languages[b], min(1.0, max(0.0, (s + 1) / 2))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(letter, pa.bool_())], [*names, "lang_pred", "score", "has_letter"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(letter, pa.bool_())], [*names, *into])
 
-    return documents.mapInArrow(run, f"{schema}, lang_pred string, score double, has_letter boolean")
+    return documents.mapInArrow(run, f"{schema}, `{into[0]}` string, `{into[1]}` double, `{into[2]}` boolean")
 
 
 def held_out() -> Column:
