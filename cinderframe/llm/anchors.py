@@ -6,7 +6,8 @@ cover places only, meet for every pair of equal windows. Anchors found in one do
 their windows; what is left is extended to full windows around the shared anchors, which are hashed
 and matched in turn. A window is a repeat if its words also start in a document of smaller doc_id.
 
-Both matchings send packed hashes, bucketed by the hash. A batch first settles what its own documents
+Anchors meet by 40 bits and their bucket's, as they only preselect; windows by 96 bits, so that none of 10^13 is
+likely to be taken for another. Both matchings send packed hashes, bucketed by the hash. A batch first settles what its own documents
 share, so a passage in a third of all documents sends one entry a batch, and no pairs are made.
 
 Words of repeated windows go, whole texts are judged, on the input. A null text has no words; texts
@@ -23,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only, release, tasks, tune
+from .common import cut, forget, only, release, tasks, tune, unused
 from .wordhash import batch_words, grams, mix
 
 #: Periods and difference covers, every residue being a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
-#: Bits of an anchor's hash that are kept; anchors only preselect, windows keep all 64.
+#: Bits of an anchor's hash that are kept; anchors only preselect.
 ANCHOR = np.uint64((1 << 40) - 1)
+#: Makes a second hash of a window from the same words.
+MORE = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of a bucket's input, at most about: more input gives more buckets.
+BUCKET = 32 << 20
 
 
 def places(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,19 +53,29 @@ def anchor_places(at: np.ndarray, window: int, period: int) -> np.ndarray:
     return np.flatnonzero(cover[place % period] & (place + (window - period + 1) <= size) & (size >= window))
 
 
-def packed(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, buckets: int, smaller: bool) -> pa.RecordBatch | None:
+def new_hash(h: np.ndarray, more: np.ndarray | None) -> np.ndarray:
+    """Whether each of the sorted hashes differs from the one before."""
+    new = h[1:] != h[:-1]
+    if more is not None:
+        new |= more[1:] != more[:-1]
+    return np.concatenate([[True], new])[: len(h)]
+
+
+def packed(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, buckets: int, more: np.ndarray | None = None) -> pa.RecordBatch | None:
     """Rows of one batch, a bucket each, of hashes by document; and what the batch settles by itself.
 
-    ``smaller``: only documents above the smallest that has the hash are answered, else all if there are two.
-    kind 0 asks the bucket, kind 1 is settled.
+    ``more``: 32 further bits of every hash, of windows; then only documents above the smallest that has the hash are
+    answered, else all if there are two. kind 0 asks the bucket, kind 1 is settled.
     """
     if not len(hashes):
         return None
-    order = np.lexsort((ids[docs], hashes))
-    h, d = hashes[order], ids[docs[order]]
-    keep = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-    h, d = h[keep], d[keep]
-    first = np.concatenate([[True], h[1:] != h[:-1]])
+    smaller = more is not None
+    order = np.lexsort((ids[docs], more, hashes) if smaller else (ids[docs], hashes))
+    h, d, x = hashes[order], ids[docs[order]], more[order] if smaller else None
+    keep = new_hash(h, x)
+    keep[1:] |= d[1:] != d[:-1]
+    h, d, x = h[keep], d[keep], x[keep] if smaller else None
+    first = new_hash(h, x)
     several = ~first | np.concatenate([~first[1:], [False]])
     settled = ~first if smaller else several
     parts = []
@@ -68,7 +83,7 @@ def packed(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, buckets: int,
         if pick.any():
             # the bucket is a part of the hash of its own; what is settled goes straight to the document's place
             bucket = (h[pick] >> np.uint64(42)) % np.uint64(buckets) if not kind else owner(d[pick], buckets)
-            parts.append(packets(bucket.astype(np.int64), kind, h[pick], d[pick], 8 if smaller else 5))
+            parts.append(packets(bucket.astype(np.int64), kind, h[pick], d[pick], 8 if smaller else 5, x[pick] if smaller and not kind else None))
     return pa.concat_tables(parts).combine_chunks().to_batches()[0]
 
 
@@ -79,11 +94,13 @@ def owner(docs: np.ndarray, buckets: int) -> np.ndarray:
     return mix(docs.astype(np.uint64)) % np.uint64(max(1, buckets // 2))
 
 
-def packets(bucket: np.ndarray, kind: int, h: np.ndarray, d: np.ndarray, width: int) -> pa.Table:
-    """One row a bucket: its documents, how many hashes each has, and the hashes' lowest ``width`` bytes."""
+def packets(bucket: np.ndarray, kind: int, h: np.ndarray, d: np.ndarray, width: int, more: np.ndarray | None = None) -> pa.Table:
+    """One row a bucket: its documents, how many hashes each has, and the hashes' lowest ``width`` bytes, ``more`` after them."""
     order = np.lexsort((d, bucket))
     h, d, bucket = h[order], d[order], bucket[order]
     raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :width])
+    if more is not None:
+        raw = np.concatenate([raw, np.ascontiguousarray(more[order]).view(np.uint8).reshape(-1, 4)], 1)
     cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist() if len(bucket) else [0]
     docs, counts, hashes = [], [], []
     for a, b in zip(cuts, cuts[1:]):
@@ -104,37 +121,38 @@ def answered(rows: DataFrame, smaller: bool, buckets: int) -> DataFrame:
     Buckets of hashes find them; their answers travel packed to buckets of documents, which put each together.
     """
     width = 8 if smaller else 5
+    parts = max(tasks(rows.sparkSession), buckets // 2)
 
-    def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def unpack(table: pa.Table, more: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
         n = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32)
-        raw = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, width)
+        raw = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint8).reshape(-1, width + more)
         wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :width] = raw
-        return wide.view(np.uint64).ravel(), np.repeat(docs, n)
+        wide[:, :width] = raw[:, :width]
+        return wide.view(np.uint64).ravel(), np.repeat(docs, n), np.ascontiguousarray(raw[:, width:]).view(np.uint32).ravel() if more else None
 
     def match(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         passed = table.filter(pa.array(kind == 1)).select(["bucket", "kind", "docs", "counts", "hashes"])
-        h, d = unpack(table.filter(pa.array(kind == 0)))
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+        h, d, x = unpack(table.filter(pa.array(kind == 0)), 4 if smaller else 0)
+        order = np.lexsort((d, x, h) if smaller else (d, h))
+        h, d, x = h[order], d[order], x[order] if smaller else None
+        first = new_hash(h, x)
         if smaller:
             told = d > d[np.flatnonzero(first)][np.cumsum(first) - 1] if len(h) else first
         else:
-            told = np.concatenate([h[1:] == h[:-1], [False]])[: len(h)] | ~first
+            told = np.concatenate([~first[1:], [False]])[: len(h)] | ~first
         return pa.concat_tables([passed, packets(owner(d[told], buckets).astype(np.int64), 1, h[told], d[told], width)])
 
     def gather(table: pa.Table) -> pa.Table:
-        h, d = unpack(table)
+        h, d, _ = unpack(table)
         order = np.argsort(d, kind="stable")
         own, n = np.unique(d, return_counts=True)
         raw = np.ascontiguousarray(h[order].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
         cuts = (np.concatenate([[0], np.cumsum(n)]) * width).tolist()
         return pa.table({"doc_id": pa.array(own, pa.int64()), "hashes": pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(match, PACKED).groupBy("bucket").applyInArrow(gather, "doc_id long, hashes binary")
+    return rows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match, PACKED).repartition(parts, "bucket").groupBy("bucket").applyInArrow(gather, "doc_id long, hashes binary")
 
 
 def known(batch: pa.RecordBatch, column: str, width: int) -> list[np.ndarray]:
@@ -157,7 +175,8 @@ def repeats(documents: DataFrame, window: int = 13, period: int = 7) -> DataFram
     """(doc_id, hashes): for each document the hashes of its repeated windows."""
     spark = documents.sparkSession
     texts = only(documents, doc_id="long", text="string").where("doc_id IS NOT NULL")
-    buckets = 2 * tasks(spark)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * tasks(spark), -(-size // BUCKET))
     length = window - period + 1
 
     def anchored(batches):
@@ -168,7 +187,7 @@ def repeats(documents: DataFrame, window: int = 13, period: int = 7) -> DataFram
             if len(start):
                 h = grams(words, length)[start]
                 # bucket and kept bits come from different ends of the hash
-                rows = packed(h & ~(np.uint64(3) << np.uint64(40)), places(at)[0][start], batch.column("doc_id").to_numpy(), buckets, False)
+                rows = packed(h & ~(np.uint64(3) << np.uint64(40)), places(at)[0][start], batch.column("doc_id").to_numpy(), buckets)
                 if rows is not None:
                     yield rows
 
@@ -191,12 +210,15 @@ def repeats(documents: DataFrame, window: int = 13, period: int = 7) -> DataFram
             m = len(words) - window + 1
             i = np.flatnonzero(total[period : m + period] > total[:m]) if m > 0 else np.zeros(0, np.int64)
             i = i[place[i] + window <= np.diff(at)[doc[i]]]
-            rows = packed(grams(words, window)[i], doc[i], batch.column("doc_id").to_numpy(), buckets, True)
+            more = (grams(words ^ MORE, window)[i] >> np.uint64(32)).astype(np.uint32)
+            rows = packed(grams(words, window)[i], doc[i], batch.column("doc_id").to_numpy(), buckets, more)
             if rows is not None:
                 yield rows
 
     near = texts.join(shared, "doc_id")
-    return cut(answered(near.mapInArrow(extended, PACKED), True, buckets), "repeated-windows")
+    told = cut(answered(near.mapInArrow(extended, PACKED), True, buckets), "repeated-windows")
+    forget(shared)
+    return told
 
 
 def kept_words(text: str, gone: np.ndarray) -> bytes:
@@ -212,7 +234,8 @@ def remove_repeats(documents: DataFrame, window: int = 13, period: int = 7, dige
     told = repeats(documents, window, period)
     rows = only(documents, doc_id="long", text="string") if digest else documents
     names, kinds = rows.columns, rows.schema
-    joined = rows.join(told.select(F.col("doc_id").alias("_told_id"), F.col("hashes").alias("_told")), F.col("doc_id") == F.col("_told_id"), "left").drop("_told_id")
+    key, own_column = unused("_key", names), unused("_told", names)
+    joined = rows.withColumn(key, F.col("doc_id").cast("long")).join(told.select(F.col("doc_id").alias(key), F.col("hashes").alias(own_column)), key, "left").drop(key)
 
     def strip(batches):
         for batch in batches:
@@ -220,7 +243,7 @@ def remove_repeats(documents: DataFrame, window: int = 13, period: int = 7, dige
             words, at = batch_words(texts)
             h = grams(words, window)
             removed, out = [], []
-            for k, (text, own) in enumerate(zip(texts.to_pylist(), known(batch, "_told", 8))):
+            for k, (text, own) in enumerate(zip(texts.to_pylist(), known(batch, own_column, 8))):
                 n = int(at[k + 1] - at[k])
                 gone = np.zeros(n, bool)
                 if len(own) and n >= window:
