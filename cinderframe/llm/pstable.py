@@ -6,47 +6,62 @@ double precision. Equal vectors of a label are one row with a weight first. A li
 first table that brings it together, so no pair list is kept: tasks give each row's count and links
 that span what they found. Buckets beyond ``block`` rows are compared block by block, whole.
 
-At the defaults two vectors of cosine 0.93 meet in some table with probability 0.988, of 0.96 with
-0.9998. Vectors that are null, empty, zero or hold null or non-finite components, and rows without
+There are as many tables as it takes for two vectors right at the threshold to meet in none with a probability of
+at most ``miss``: 41 at the defaults; at cosine 0.95 it is 6e-5. Unrelated vectors of 64 dimensions meet in one of
+them with a probability of 0.01; for more rows, more projections make more and smaller buckets. Vectors that are null, empty, zero or hold null or non-finite components, and rows without
 label, link with nothing: 0 links and their own id. Rows of one vec_id and vector count as copies.
 An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tune
+from .common import cut, forget, tune
 from .components import components
 from .streams import by_group
 from .vectors import as_bytes, element_type, matrix, unit, usable_vector
 
 
 def cells(units: np.ndarray, tables: int, projections: int, width: float, seed: int) -> np.ndarray:
-    """A 64-bit key of the cells for every row and table."""
+    """A 32-bit key of the cells for every row and table: equal cells have equal keys."""
     rng = np.random.default_rng([seed, units.shape[1]])
-    keys = np.empty((len(units), tables), np.int64)
+    keys = np.empty((len(units), tables), np.int32)
     with np.errstate(over="ignore"):
         for t in range(tables):
             a, b = rng.standard_normal((units.shape[1], projections)), rng.uniform(0, width, projections)
             cell = np.floor((units @ a + b) / width).astype(np.int64)
             odd = rng.integers(-(2**62), 2**62, projections) * 2 + 1
-            keys[:, t] = (cell * odd).sum(1)
+            keys[:, t] = (cell * odd).sum(1) >> 32
     return keys
 
 
+def meeting(cosine: float, width: float) -> float:
+    """The probability that two unit vectors share a cell of one projection (Datar and others 2004)."""
+    r = width / math.sqrt(2.0 - 2.0 * cosine)
+    return math.erf(r / math.sqrt(2.0)) - math.sqrt(2.0 / math.pi) / r * (1.0 - math.exp(-r * r / 2.0))
+
+
+def tables_for(threshold: float, projections: int, width: float, miss: float) -> int:
+    """Tables in which two vectors at the threshold meet at least once, but for a probability of ``miss``."""
+    return max(1, math.ceil(math.log(miss) / math.log1p(-meeting(threshold, width) ** projections)))
+
+
 def takes_part():
     return F.coalesce(usable_vector() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.93, tables: int = 40, projections: int = 14, width: float = 2.0, block: int = 512, seed: int = 9) -> DataFrame:
+def near_vectors(embeddings: DataFrame, threshold: float = 0.93, miss: float = 1e-3, projections: int = 14, width: float = 2.4, block: int = 512, seed: int = 9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = embeddings.sparkSession
     tune(spark)
+    tables = tables_for(threshold, projections, width, miss)
     dtype = element_type(embeddings)
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
 
@@ -61,14 +76,14 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, tables: int = 4
         for batch in batches:
             raw = batch.column("vec")
             sizes = pa.compute.binary_length(raw).to_numpy()
-            keys = np.zeros((len(sizes), tables), np.int64)
+            keys = np.zeros((len(sizes), tables), np.int32)
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
                 keys[own] = cells(unit(matrix(raw.take(pa.array(own)), dtype)), tables, projections, width, seed + int(size))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "keys"])
 
-    reps = cut(once.mapInArrow(keyed, "label string, vec binary, rep long, weight long, keys array<long>"), "vectors")
+    reps = cut(once.mapInArrow(keyed, "label string, vec binary, rep long, weight long, keys array<int>"), "vectors")
     # buckets with more than one row; the rest meets nobody
     slots = reps.select("rep", "label", F.posexplode("keys").alias("tab", "key")).withColumn("slot", F.xxhash64("label", "tab", "key")).select("rep", "tab", "slot")
     full = cut(slots.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot", F.ceil(F.col("n") / block).alias("blocks")), "buckets")
@@ -125,4 +140,5 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.93, tables: int = 4
     known = cut(reps.select("rep", "label", "vec", "weight").join(counts, "rep", "left").join(roots, "rep", "left").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "vector-classes")
     linked = good.join(known, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     alone = every.where(~takes_part()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    forget(reps, full, found)
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
