@@ -1,13 +1,16 @@
 """Operator 10, BPE encoding and decoding: a backtracking encoder and an offset-table decoder.
 
-A pre-token's tokens are found from left to right. At each place the Aho-Corasick automaton gives
-the vocabulary's tokens that start there, the longest first; a token is taken if it and the one
-before it are compatible, that is if merging their joined symbols by rank gives just these two.
-Where none fits, the place is marked as dead and the last token gives way to its next shorter one.
-Each place is tried once, so the work is linear in the text, and the result is the one that
-rank-ordered merging gives. Decoding gathers token texts through a table of offsets.
-
-Null text counts as empty: no ids, and the empty string decoded. Pre-tokens of any length are whole.
+An Aho-Corasick automaton of the vocabulary's tokens, spelled backwards, runs once over a pre-token from its
+end, one step a letter: what it says at a place is the longest token that starts there. Tokens are then
+found from left to right; one is taken if it and the one before it are compatible, that is if merging their
+joined symbols by rank gives just these two. Where a token does not fit, its next shorter one is tried; where
+none fits, the place is marked as dead and the last token gives way to its next shorter one. Each place is
+tried once, so the work is linear in the text, and the result is the one that rank-ordered merging gives.
+Decoding gathers token texts through a table of offsets.
+
+Null text counts as empty: no ids, and the empty string decoded. Pre-tokens of any length are whole. Rows are
+encoded each by itself, repeated ones too; extra columns stay behind; an empty table gives no rows. (A vocabulary
+that lacks a byte merges pre-tokens with that byte plainly, which takes time quadratic in their length.)
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ import unicodedata
 from array import array
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -70,19 +72,11 @@ class BpeCoder:
                 self.parts[made], self.rank[made] = pair, n
         self.base = {s: i for s, i in vocab.items() if self.rank[i] < 0}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        self.tails: dict[str, int] = {}  # each prefix of a token: the longest token that it starts with
         self.length, self.shorter = [0] * (max(vocab.values()) + 1), [-1] * (max(vocab.values()) + 1)
         # a token that its own text is not merged into never occurs
         whole = {s: i for s, i in vocab.items() if i not in self.parts or self._meet(*self.parts[i], True)}
-        for s in sorted(whole, key=len):
-            self.automaton.add_word(s, whole[s])
-            self.length[whole[s]], self.shorter[whole[s]] = len(s), self._best(s[:-1], whole)
         for s in whole:
-            for k in range(1, len(s) + 1):
-                if s[:k] not in self.tails:
-                    self.tails[s[:k]] = self._best(s[:k], whole)
-        self.automaton.make_automaton()
+            self.length[whole[s]], self.shorter[whole[s]] = len(s), self._best(s[:-1], whole)
         self._tables(whole)
         # decoding: every token's bytes, each with the blank that parts tokens, and where they start
         texts = {i: s.replace(END, WORD_END) for s, i in vocab.items()} | {i: s for s, i in special.items()}
@@ -129,13 +123,51 @@ class BpeCoder:
             fit = self.fits[left, right] = self._meet(left, right, False)
         return fit
 
+    def _tables(self, whole: dict[str, int]) -> None:
+        """The automaton of tokens spelled backwards: a full table of steps, failure links followed in advance.
+
+        ``step[node, letter]`` is the next node, ``says[node]`` the longest token that the letters read last spell
+        backwards, -1 if none. Letters of no token lead to the root.
+        """
+        self.letter = {c: n for n, c in enumerate(sorted({c for s in whole for c in s}), 1)}
+        back = {s[::-1]: i for s, i in whole.items()}
+        nodes = {"": 0}
+        for s in sorted({r[:k] for r in back for k in range(1, len(r) + 1)}, key=len):
+            nodes[s] = len(nodes)
+        n = len(nodes)
+        depth = np.fromiter(map(len, nodes), np.int64, n)
+        parent = np.fromiter((nodes[s[:-1]] for s in nodes), np.int64, n)
+        by = np.fromiter((self.letter[s[-1]] if s else 0 for s in nodes), np.int64, n)
+        self.says = np.fromiter((back.get(s, -1) for s in nodes), np.int32, n)
+        self.step = np.zeros((n, len(self.letter) + 1), np.uint32)
+        cuts = np.searchsorted(depth, np.arange(depth[-1] + 2)).tolist()
+        self.step[0, by[cuts[1] : cuts[2]]] = np.arange(cuts[1], cuts[2])
+        fail = np.zeros(n, np.int64)
+        for d in range(1, len(cuts) - 1):
+            own = np.arange(cuts[d], cuts[d + 1])
+            if d > 1:
+                fail[own] = self.step[fail[parent[own]], by[own]]
+            self.step[own] = self.step[fail[own]]
+            silent = own[self.says[own] < 0]
+            self.says[silent] = self.says[fail[silent]]
+            if d + 2 < len(cuts):
+                deeper = np.arange(cuts[d + 1], cuts[d + 2])
+                self.step[parent[deeper], by[deeper]] = deeper
+        self.steps, self.said, self.wide = memoryview(self.step).cast("B").cast("I"), self.says.tolist(), self.step.shape[1]
+        self.length_of, self.shorter_of = np.array(self.length, np.int32), np.array(self.shorter, np.int32)
+        self.pair_key = np.full(1 << 20, -1, np.int64)
+        self.pair_fit = np.zeros(1 << 20, bool)
+
     def word(self, text: str) -> bytes:
         """The ids of one pre-token in byte letters, as little-endian unsigned 32-bit integers."""
         text += END
-        n, fits, longest, tails = len(text), self.fits, self.automaton.longest_prefix, self.tails
-        length, shorter = self.length, self.shorter
-        at, last, chosen, dead = 0, -1, [], set()
-        token = tails.get(text[: longest(text)], -1)
+        n, steps, said, wide, code = len(text), self.steps, self.said, self.wide, self.letter.get
+        best, node = array("i", bytes(4 * n)), 0
+        for k in range(n - 1, -1, -1):
+            node = steps[node * wide + code(text[k], 0)]
+            best[k] = said[node]
+        fits, length, shorter = self.fits, self.length, self.shorter
+        at, last, chosen, dead, token = 0, -1, array("I"), set(), best[0]
         while True:
             while token >= 0:  # a place is reached by one sequence only, so what failed stays failed
                 end = at + length[token]
@@ -149,10 +181,9 @@ class BpeCoder:
             if token >= 0:
                 chosen.append(token)
                 if end == n:
-                    return array("I", chosen).tobytes()
+                    return chosen.tobytes()
                 at, last = end, token
-                rest = text[at:]
-                token = tails.get(rest[: longest(rest)], -1)
+                token = best[at]
             elif not chosen:
                 return self._by_rank(text)
             else:
@@ -162,24 +193,6 @@ class BpeCoder:
                 last = chosen[-1] if chosen else -1
                 token = shorter[token]
 
-    def _tables(self, whole: dict[str, int]) -> None:
-        """The same automaton and compatibility table as arrays, to step many words at once."""
-        inner = {"": 0} | {p: n for n, p in enumerate(sorted({s[:k] for s in whole for k in range(1, len(s))}), 1)}
-        self.letter = {c: n for n, c in enumerate(sorted({c for s in whole for c in s}), 1)}
-        small = max(len(inner), *whole.values()) < 0xFFFF
-        kind = np.uint16 if small else np.uint32
-        self.no_token = np.iinfo(kind).max
-        self.next_node = np.full((len(inner) + 1, len(self.letter) + 1), len(inner), kind)  # the last node is the end
-        self.next_token = np.full((len(inner) + 1, len(self.letter) + 1), self.no_token, kind)
-        for p, n in inner.items():
-            if p:
-                self.next_node[inner[p[:-1]], self.letter[p[-1]]] = n
-        for s, i in whole.items():
-            self.next_token[inner[s[:-1]], self.letter[s[-1]]] = i
-        self.length_of, self.shorter_of = np.array(self.length, np.int32), np.array(self.shorter, np.int32)
-        self.pair_key = np.full(1 << 20, -1, np.int64)
-        self.pair_fit = np.zeros(1 << 20, bool)
-
     def _fit_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Pair compatibility by a table of fixed size; a pair that another one has displaced is worked out anew."""
         key = left.astype(np.int64) << 32 | right
@@ -205,21 +218,18 @@ class BpeCoder:
         for c, k in self.letter.items():
             if ord(c) < len(lut):
                 lut[ord(c)] = k
-        # longest token at each place, by walking the automaton from all places at once
+        # longest token at each place: the automaton steps all words backwards side by side
         flat, ends = lut[codes], np.cumsum(size)
-        base, stop = ends - size, np.repeat(ends, size)
-        best = np.full(len(flat), -1, np.int32)
-        where, node, step = np.arange(len(flat)), np.zeros(len(flat), np.int32), 0
-        while len(where):
-            at = where + step
-            keep = at < stop[where]
-            where, node, at = where[keep], node[keep], at[keep]
-            found = self.next_token[node, flat[at]]
-            hit = found != self.no_token
-            best[where[hit]] = found[hit]
-            node = self.next_node[node, flat[at]]
-            keep = node < len(self.next_node) - 1
-            where, node, step = where[keep], node[keep], step + 1
+        base = ends - size
+        best = np.empty(len(flat), np.int32)
+        longer = np.argsort(-size, kind="stable")
+        upto = np.searchsorted(-size[longer], -np.arange(wide), "left")  # words with more letters than steps done
+        node = np.zeros(n, np.uint32)
+        for step in range(wide):
+            live = longer[: upto[step]]
+            at = ends[live] - 1 - step
+            node[: len(live)] = self.step[node[: len(live)], flat[at]]
+            best[at] = self.says[node[: len(live)]]
         # backtracking: one try of one token for every unfinished word in each round
         chosen, depth = np.full((n, wide + 1), -1, np.int32), np.zeros(n, np.int64)
         dead = np.zeros(len(flat) + 1, bool)
