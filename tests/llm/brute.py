@@ -71,3 +71,24 @@ def close_pairs(rows, threshold):
         n[b] += 1
     ids = [r[0] for r in rows]
     return {i: n[i] for i in ids}, joined(ids, links)
+
+
+def license_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", fold(text or ""))
+
+
+def pattern(template):
+    """A template's markup as a regular expression over words that blanks part."""
+    out = []
+    for part in re.findall(r"\[\[|\]\]|\||<<\d+>>|[^\s|\[\]<>]+", template):
+        if part == "[[":
+            out.append("(?:(?:")
+        elif part == "]]":
+            out.append("))?")
+        elif part == "|":
+            out.append(")|(?:")
+        elif part.startswith("<<"):
+            out.append("(?:[^ ]+ ){1,%s}" % part[2:-2])
+        else:
+            out += [w + " " for w in license_words(part)]
+    return re.compile(" " + "".join(out))

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
+import regex
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -17,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_run(spark):
     rows = list(zip(*(pq.read_table(f"{SF}/documents.parquet")[c].to_pylist() for c in ("doc_id", "text"))))
-    rows = [(i, t) for i, t in rows if t and re.search(r"[^\W\d_]", t)]
+    rows = [(i, t) for i, t in rows if t and regex.search(r"\p{L}", t)]
     near = brute.near(rows, 80)
     rows = [(i, t) for i, t in rows if near[i][1] == i]
     cut = brute.repeated(rows)
@@ -46,6 +47,20 @@ def test_stages_keep_columns(spark):
     assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1]
 
 
+def test_stages_survive_clashing_columns(spark):
+    """Columns named as the operators' own; repeated rows and ids."""
+    long = " ".join(f"k{k}" for k in range(40))
+    rows = [(1, long, "en", "s", 9), (1, long, "en", "s", 9), (1, "another text altogether of the same id", "en", "s", 9), (2, long + " more", "en", "s", 9), (3, "begin " + long + " then on", "en", "s", 9), (None, long, "en", "s", 9)]
+    more = ("score", "lang_pred", "has_letter", "_told", "_key", "_doc", "_text", "kept", "leads", "component_id", "first", "c", "bucket", "hashes", "text_hash", "DIGEST")
+    docs = spark.createDataFrame([(*r, *more) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in more))
+    names = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == names
+    got = sorted((r.doc_id or 0, r.text) for r in docs.collect())
+    assert [i for i, _ in got] == [0, 1, 1] and (1, long) in got and all(r.score == "score" for r in docs.collect())
+
+
 def test_language_id_keeps_texts_with_letters(spark):
     """Also if no label can be learned from, and if ``und`` is a label itself."""
     texts = {1: "some words of a text", 2: None, 3: "", 4: "1 2 3", 5: "andere Worte", 6: "한국어"}

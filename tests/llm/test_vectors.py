@@ -53,10 +53,10 @@ def test_nearest(vectors, empty):
             near = sorted((-(u @ v) / np.linalg.norm(u) / np.linalg.norm(v), i) for i, v in good.items() if i != q and len(v) == len(u))
             want[q] = [i for _, i in near[:5]], [-s for s, _ in near[:5]]
     got = {}
-    for r in sorted(crosspoly.nearest(vectors, "vec_id % 50 = 0", probes=32, block=16).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(crosspoly.nearest(vectors, "vec_id % 50 = 0", effort=99, tables=1, block=16).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r)
     assert got.keys() == want.keys()
-    for q, rows in got.items():  # every axis is probed: exact
+    for q, rows in got.items():  # every cell is visited: exact
         assert [r.rank for r in rows] == list(range(1, len(rows) + 1))
         assert np.allclose([r.score for r in rows], want[q][1], atol=1e-12)
     assert [r.vec_id for r in got[300]] == [7, 301, 302, 303, 304]  # ties to smaller ids
@@ -73,7 +73,7 @@ def test_nearest_of_repeated_rows(spark):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)
     for block in (1024, 2):
         got = {}
-        for r in sorted(crosspoly.nearest(df, "vec_id >= 0", probes=32, block=block).collect(), key=lambda r: (r.query_id, r.rank)):
+        for r in sorted(crosspoly.nearest(df, "vec_id >= 0", effort=99, tables=1, block=block).collect(), key=lambda r: (r.query_id, r.rank)):
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert got == want
 
@@ -108,6 +108,46 @@ def test_recall(spark, sf):
     assert hits / (5 * len(ask)) >= 0.9
 
 
+def test_nearest_visits_few_cells():
+    """Of 10,000 rows a query scores a fifth at most; of 10^9 under a hundredth."""
+    for n, most in ((2000, 0.34), (10_000, 0.21), (10**9, 0.01)):
+        assert 12 * crosspoly.probes_of(n, 128 * 128, 12, 3.2) / 128**2 <= most
+
+
+def test_nearest_of_one_frequent_vector(spark):
+    """A third of the rows are copies of one vector: they count once in each table, all ids come back in order."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((400, 64)).astype(np.float32)
+    v[:150] = v[0]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in sorted(crosspoly.nearest(df, "vec_id % 10 = 0").collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(got[q] == [k for k in range(6) if k != q][:5] for q in range(0, 150, 10)) and all(len(x) == 5 for x in got.values())
+    assert len(got) == 40
+
+
+def test_recall_of_links(spark):
+    """Planted pairs and clusters at cosines from just under to well over the threshold, in 64 dimensions, with default parameters."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(300):
+        u = rng.standard_normal(64)
+        u /= np.linalg.norm(u)
+        rows.append(u)
+        for c in rng.uniform(0.92, 0.955, 2):
+            w = rng.standard_normal(64)
+            w -= (w @ u) * u
+            rows.append(c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w))
+    m = np.array(rows)
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(m)], "vec_id long, embedding array<double>, label int").repartition(3)
+    linked = np.triu(m @ m.T >= 0.93, 1)
+    want = int(linked.sum()) * 2
+    got = sum(r.n_links for r in pstable.near_vectors(df).collect())
+    assert want > 500 and 0.99 * want <= got <= want
+    assert (1 - pstable.meeting(0.93, 2.4) ** 14) ** pstable.tables_for(0.93, 14, 2.4, 1e-3) <= 1e-3
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(k, k + 1) for k in range(500, 620)] + [(700, k) for k in range(701, 900)] + [(3, 3)]
