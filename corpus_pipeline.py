@@ -2,8 +2,13 @@
 
 Every stage is a function of (spark, docs, sf_dir) on all rows that the one before kept. doc_id identifies
 a document; rows with a null doc_id pass the dedup stages untouched. Nulls, empty and very long texts are
-as the operators define them. Clean documents stay: only texts without any letter are rejected, only
-documents whose near copy of smaller doc_id stays are dropped, only repeated windows are cut out of texts.
+as the operators define them; columns beyond those of documents pass through under whatever name. Clean documents
+stay: only texts without any letter are rejected, only documents whose near copy leads its group (the one of smallest
+doc_id, then text) are dropped, only repeated windows are cut out of texts. Rows of one doc_id with different texts
+are judged each by its own text; of rows that repeat doc_id and text one stays.
+
+near_dedup links at a similarity of 80 %, the least that the task sets for stages; op2_near_documents links at the
+85 % that its own contract sets.
 """
 
 from __future__ import annotations
@@ -14,20 +19,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderframe.llm import anchors, langid, minhash, packing
-from cinderframe.llm.common import cut, table
+from cinderframe.llm.common import cut, forget, table, unused
 from cinderframe.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter in their text, whatever language is predicted and also if none could be learned."""
     model = langid.fit(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
-    return langid.predict(docs, model).where("has_letter").select(*docs.columns)
+    into = tuple(unused(name, docs.columns) for name in ("_lang_pred", "_score", "_has_letter"))
+    return langid.predict(docs, model, into=into).where(into[2]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id."""
-    gone = minhash.near_documents(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    decided = minhash.near_documents(docs).where("doc_id IS NOT NULL AND n_shingles > 0")
+    own, text = unused("_doc", docs.columns), unused("_text", docs.columns)
+    decided = cut(decided.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(text)).agg(F.bool_and("leads").alias("leads"), F.count("*").alias("n")).where("NOT leads OR n > 1"), "decided")
+    keyed = docs.withColumns({own: F.col("doc_id").cast("long"), text: F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(decided.where("NOT leads").select(own, text), [own, text], "left_anti")
+    repeated = decided.where("leads").select(own, text)
+    if not repeated.isEmpty():
+        one = kept.join(repeated, [own, text], "left_semi").dropDuplicates([own, text])
+        kept = kept.join(repeated, [own, text], "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +68,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, name)
+            if k:
+                forget(before)
     return docs
 
 
