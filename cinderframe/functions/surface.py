@@ -1,7 +1,9 @@
 """Surface fire spread (Rothermel 1972, Albini 1976) as staged projections.
 
-Each stage adds columns that the next one uses, so Catalyst evaluates every intermediate once and the whole
-chain stays in generated code: the six size classes are scalar columns, not arrays under lambdas.
+Each stage adds columns that the next one uses: the six size classes are scalar columns, not arrays under lambdas.
+The optimiser merges stages into one, which repeats a shared intermediate wherever it is used. ``bound`` keeps a few
+seams apart that would otherwise multiply it, by passing their columns through a one-element generator, which stays in
+generated code.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ def total(columns) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def bound(df: DataFrame, columns: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
+    """Add columns that are worked out once, here, whatever uses them later. ``keep``: the other columns to go on with."""
+    made = F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select(*(c for c in (df.columns if keep is None else keep) if c not in columns), made)
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole, 0 where whole isn't positive."""
     return F.when(whole > 0, part / whole).otherwise(0.0)
@@ -77,6 +85,8 @@ def with_minimum_spread(cells: DataFrame, grass_suppression: bool = False) -> Da
     """Add base_rate (ft/min), reaction_intensity (Btu/ft2/min), residence_time (min) and the wind and slope
     coefficients of the no-wind, no-slope fire; 0 for fuels that don't burn."""
     out = moisturized(cells)
+    made = [c for c in out.columns if c.startswith("_")]
+    out = bound(out, {c: col(c) for c in made})
     stage = {
         "_sigma": total(col(f"_f_{k}") * total(col(f"_f_{c}") * col(f"_s_{c}") for c in group) for k, group in (("dead", DEAD), ("live", LIVE))),
         "_beta": share(total(col(f"_w_{c}") for c in CLASSES) / DENSITY, col("depth")),
@@ -92,7 +102,7 @@ def with_minimum_spread(cells: DataFrame, grass_suppression: bool = False) -> Da
         stage[f"_eps_{k}"] = total(
             F.when(col(f"_s_{c}") > 0, col(f"_f_{c}") * F.exp(-138.0 / F.nullif(col(f"_s_{c}"), F.lit(0.0))) * (250.0 + 1116.0 * col(f"_m_{c}"))).otherwise(0.0) for c in group
         )
-    out = out.withColumns(stage)
+    out = bound(out, stage, [*cells.columns, *made])
     burns = burnable(col("model")) & (col("_sigma") > 0) & (col("_beta") > 0)
     damp = {k: 1.0 - 2.59 * col(f"_r_{k}") + 5.11 * F.pow(col(f"_r_{k}"), F.lit(2.0)) - 3.52 * F.pow(col(f"_r_{k}"), F.lit(3.0)) for k in ("dead", "live")}
     out = out.withColumns({
@@ -105,14 +115,15 @@ def with_minimum_spread(cells: DataFrame, grass_suppression: bool = False) -> Da
     peak = F.pow(sigma, F.lit(1.5)) / (495.0 + 0.0594 * F.pow(sigma, F.lit(1.5)))
     bend = 133.0 / F.pow(sigma, F.lit(0.7913))
     flux = F.exp((0.792 + 0.681 * F.sqrt(sigma)) * (col("_beta") + 0.1)) / (192.0 + 0.2595 * sigma)
-    out = out.withColumns({
+    out = bound(out, {c: col(c) for c in ("_burns", "_btus", "_opt", "_eps", "_sigma", "_beta", "_rho")}, cells.columns)
+    out = bound(out, {
         "_gamma": peak * F.pow(col("_opt"), bend) * F.exp(bend * (1.0 - col("_opt"))),
         "_xi": flux,
         "wind_b": F.when(col("_burns"), 0.02526 * F.pow(sigma, F.lit(0.54))),
         "wind_c": F.when(col("_burns"), 7.47 * F.exp(-0.133 * F.pow(sigma, F.lit(0.55)))),
         "wind_f": F.when(col("_burns"), F.pow(col("_opt"), 0.715 * F.exp(-3.59 * sigma / 10000.0))),
         "slope_k": F.when(col("_burns"), 5.275 * F.pow(col("_beta"), F.lit(-0.3))),
-    })
+    })
     rate = F.when(col("_burns") & (col("_rho") * col("_eps") > 0), col("_gamma") * col("_btus") * col("_xi") / F.nullif(col("_rho") * col("_eps"), F.lit(0.0))).otherwise(0.0)
     if grass_suppression:
         rate = rate * F.when(dynamic_grass(col("base")), 0.5).otherwise(1.0)
@@ -133,6 +144,14 @@ def wind_adjustment(depth: Column, canopy_height: Column, canopy_cover: Column)
     return F.when((canopy_cover > 0) & (canopy_height > 0), sheltered).when(depth > 0, 1.83 / log_profile(depth)).otherwise(0.0)
 
 
+def wind_adjustment_metric(depth: Column, canopy_height: Column, canopy_cover: Column) -> Column:
+    """The same factor as another fire model works it out: canopy height in metres, cover a ratio."""
+    h = canopy_height / 0.3048
+    sheltered = 1.0 / F.log((20.0 + 0.36 * h) / (0.13 * F.nullif(h, F.lit(0.0)))) * (0.555 / F.sqrt(canopy_cover / 3.0 * h))
+    bare = 1.36 * F.log((20.0 + 0.36 * depth) / (0.13 * F.nullif(depth, F.lit(0.0)))) * (F.log(F.lit(1.36 / 0.13)) - 1.0)
+    return F.when((canopy_cover > 0) & (canopy_height > 0), sheltered).when(depth > 0, bare).otherwise(0.0)
+
+
 def angle_between(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.when(d > 180.0, 360.0 - d).otherwise(d)
@@ -156,12 +175,12 @@ def with_maximum_spread(cells: DataFrame, wind: Column, wind_from: Column, slope
     def wind_of(phi: Column) -> Column:
         return F.when(phi > 0, F.pow(phi * (col("wind_f") / F.nullif(col("wind_c"), F.lit(0.0))), 1.0 / col("wind_b"))).otherwise(0.0)
 
-    out = cells.withColumns({
+    out = bound(cells, {
         "_r": col("base_rate") * adjustment, "_u": wind, "_to": wind_to, "_up": upslope, "_cap": 0.9 * col("reaction_intensity"), "_e": ellipse,
         "_flat": nearly_zero(slope), "_calm": nearly_zero(wind), "_ps": F.when(slope > 0, col("slope_k") * slope * slope).otherwise(0.0), "_pw": phi_wind(wind),
     })
     turn = F.radians(F.pmod(col("_to") - col("_up"), F.lit(360.0)))
-    out = out.withColumns({"_x": col("_r") * (col("_ps") + col("_pw") * F.cos(turn)), "_y": col("_r") * col("_pw") * F.sin(turn)})
+    out = bound(out, {"_x": col("_r") * (col("_ps") + col("_pw") * F.cos(turn)), "_y": col("_r") * col("_pw") * F.sin(turn)})
     out = out.withColumns({"_v": F.sqrt(col("_x") * col("_x") + col("_y") * col("_y")), "_with": angle_between(col("_to"), col("_up")) < 15.0})
     across = ~col("_flat") & ~col("_calm") & ~col("_with")
     still = across & nearly_zero(col("_v"))
@@ -174,8 +193,8 @@ def with_maximum_spread(cells: DataFrame, wind: Column, wind_from: Column, slope
         F.when(col("_flat") & col("_calm"), 0.0).when(col("_flat"), col("_to")).when(col("_calm") | col("_with"), col("_up"))
         .when(still, 0.0).otherwise(F.pmod(col("_up") + bearing, F.lit(360.0)))
     )
-    out = out.withColumns({"_phi": phi, "max_direction": direction})
-    out = out.withColumn("_eff", F.when(col("_flat") & ~col("_calm"), col("_u")).otherwise(wind_of(col("_phi"))))
+    out = bound(out, {"_phi": phi, "max_direction": direction})
+    out = bound(out, {"_eff": F.when(col("_flat") & ~col("_calm"), col("_u")).otherwise(wind_of(col("_phi")))})
     over = col("_eff") > col("_cap")
     out = out.withColumns({"max_rate": col("_r") * (1.0 + F.when(over, phi_wind(col("_cap"))).otherwise(col("_phi"))), "effective_wind": F.when(over, col("_cap")).otherwise(col("_eff"))})
     lw = 1.0 + 0.002840909 * col("effective_wind") * col("_e")
