@@ -34,8 +34,15 @@ def growth_acres_per_day(cells: Column, cell_size: float, minutes: float) -> Col
     return cells_to_acres(cells, cell_size) / (minutes / 1440.0)
 
 
-def difficulty_factor(sensitivity: Column, sign: Column, mean_index: Column) -> Column:
-    return F.exp(-sign * sensitivity * mean_index)
+def difficulty_factor(sensitivity: Column, multiplier: Column, mean_index: Column) -> Column:
+    """Difficulty slows containment down and speeds up its loss: only the multiplier's sign counts."""
+    return F.exp(F.when(multiplier >= 0.0, -1.0).otherwise(1.0) * sensitivity * mean_index)
+
+
+def contained_by_index(previous: Column, percent_a_day: Column, multiplier: Column, difficulty: Column, minutes: float) -> Column:
+    """The fraction contained after ``minutes`` more, never below 0."""
+    change = percent_a_day * multiplier * difficulty * 0.01 * (minutes * 0.000694444)
+    return F.greatest(F.lit(0.0), previous + change)
 
 
 def growth_multiplier(area_reference: Column, area_rate: Column) -> Column:
