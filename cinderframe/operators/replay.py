@@ -21,10 +21,43 @@ def confusion(cells: DataFrame, keys: list[str], simulated: Column, observed: Co
     )
 
 
-def quantiles(cells: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Exact quantiles without nulls and NaNs."""
-    v = F.when(~F.isnan(value), F.col(value))
-    return cells.groupBy(*keys).agg(F.percentile(v, F.array(*map(F.lit, shares))).alias("q")).select(*keys, *(F.col("q")[k].alias(f"q{round(s * 100)}") for k, s in enumerate(shares)))
+def quantiles(cells: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
+    """Percentiles without nulls and NaNs, between the values at place p / 100 * (n + 1) and its neighbours, kept inside.
+
+    Values are counted before they are ordered, so a group meets as its distinct values.
+    """
+    counted = cells.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    upto = counted.withColumns({"_upto": F.sum("_c").over(w.orderBy("_v")), "_n": F.sum("_c").over(w)})
+    out = []
+    for p in percents:
+        place = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.lit(p / 100.0) * (F.col("_n") + 1)))
+        low = F.floor(place)
+        out += [F.min(F.when(F.col("_upto") >= low, F.col("_v"))).alias(f"_a{p}"), F.min(F.when(F.col("_upto") >= F.least(low + 1, F.col("_n")), F.col("_v"))).alias(f"_b{p}"), F.first(place - low).alias(f"_f{p}")]
+    found = upto.groupBy(*keys).agg(*out)
+    return found.select(*keys, *((F.col(f"_a{p}") + F.col(f"_f{p}") * (F.col(f"_b{p}") - F.col(f"_a{p}"))).alias(f"p{p}") for p in percents))
+
+
+def arrival_ratios(cells: DataFrame, keys: list[str], simulated: Column, observed: Column, lapse: Column) -> DataFrame:
+    """Mean and percentiles of time of arrival over the lapse, on cells burned in both whose time is positive."""
+    ratio = F.when(simulated & observed & (F.col("burn_time") > 0), F.col("burn_time") / lapse)
+    rated = cells.withColumn("_ratio", ratio)
+    return rated.groupBy(*keys).agg(F.avg("_ratio").alias("mean")).join(quantiles(rated, keys, "_ratio", [50, 75, 90, 95]), keys, "left")
+
+
+def smallest_hashes(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """A stable sample: the k rows of smallest hash of their keys, the same in any order and on any cluster."""
+    return rows.withColumn("pair_hash", F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in keys)))).orderBy("pair_hash").limit(k)
+
+
+def variations(scores: DataFrame, preferred_hours: float) -> DataFrame:
+    """(variation, n, failed, over, under): replays counted, failed ignitions, and shares of the really burned cells that
+    were burned too much and too little, weighted in favour of a lapse. Needs variation, hours, real, both, sim_minus_real, real_minus_sim."""
+    weight = lapse_weight(F.lit(preferred_hours), F.col("hours"))
+    share = {c: F.when(F.col("real") == 0, 0.0).otherwise(F.col(c) / F.nullif("real", F.lit(0))) for c in ("sim_minus_real", "real_minus_sim")}
+    failed = F.count_if(F.col("both") + F.col("sim_minus_real") == 0)
+    avg = lambda c: F.try_divide(F.sum(weight * share[c]), F.sum(weight))
+    return scores.groupBy("variation").agg(F.count("*").alias("n"), failed.alias("failed"), avg("sim_minus_real").alias("over"), avg("real_minus_sim").alias("under"))
 
 
 def lapse_weight(preferred: Column, lapse: Column) -> Column:
