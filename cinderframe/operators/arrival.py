@@ -1,11 +1,7 @@
-"""Minimum arrival times of many simulated fires at once, by frontier relaxation.
+"""When fronts reach the cells beside those that burn: one step of spread, as joins.
 
-All simulations advance together: a round joins the frontier with the moves between neighbouring cells, keeps
-each cell's earliest time and goes on from the cells that improved. State lives in a stored table keyed by
-(sim, i, j), so a lost executor repeats one round, and the work of a round follows the front, not the grid.
-
-This is the static-weather approximation of the event-driven spread: a front crosses half the way at the
-source cell's rate and half at the target's, and cells keep their rates.
+A front crosses half the way at the source cell's rate and half at the target's. Stepping on and on through time is the
+work of a simulator, which this library is not.
 """
 
 from __future__ import annotations
@@ -14,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import surface
-from ..shared import stored
 from . import grid
 
 #: Headings of the eight moves, clockwise from north; rows grow to the south.
@@ -22,8 +17,7 @@ HEADINGS = {(-1, 0): 0, (-1, 1): 45, (0, 1): 90, (1, 1): 135, (1, 0): 180, (1, -
 
 
 def moves(cells: DataFrame, cell_size: float) -> DataFrame:
-    """(i, j, to_i, to_j, minutes) between burnable neighbours. ``cells``: elevation and the columns of the maximum
-    spread, stored: the physics must not be worked out anew on each side of the join, nor pushed into its filters."""
+    """(i, j, to_i, to_j, minutes) between burnable neighbours. ``cells``: elevation and the columns of the maximum spread."""
     rates = {"elevation": "z", "max_rate": "r", "max_direction": "d", "eccentricity": "e"}
     own = cells.select("i", "j", *(F.col(c).alias(n) for c, n in rates.items())).where("r > 0")
     pairs = grid.neighbours(own, own, {"z": "z2", "r": "r2", "d": "d2", "e": "e2"})
@@ -39,14 +33,7 @@ def moves(cells: DataFrame, cell_size: float) -> DataFrame:
     return out.select("i", "j", (F.col("i") + F.col("di")).alias("to_i"), (F.col("j") + F.col("dj")).alias("to_j"), minutes.alias("minutes"))
 
 
-def arrival_times(ignitions: DataFrame, edges: DataFrame, most_minutes: float) -> DataFrame:
-    """(sim, i, j, burn_time) of every cell reached in time. ``ignitions``: (sim, i, j, burn_time)."""
-    edges, k = stored(edges, "moves"), 0
-    known = stored(ignitions.groupBy("sim", "i", "j").agg(F.min("burn_time").alias("burn_time")).withColumn("round", F.lit(0)), "arrivals")
-    while not known.where(F.col("round") == k).isEmpty():
-        front = known.where(F.col("round") == k).select("sim", "i", "j", "burn_time")
-        reached = front.join(edges, ["i", "j"]).select("sim", F.col("to_i").alias("i"), F.col("to_j").alias("j"), (F.col("burn_time") + F.col("minutes")).alias("burn_time"), F.lit(k + 1).alias("round"))
-        both = known.union(reached.where(F.col("burn_time") <= most_minutes))
-        best = both.groupBy("sim", "i", "j").agg(F.min(F.struct("burn_time", "round")).alias("m"))  # of equal times the known one
-        known, k = stored(best.select("sim", "i", "j", "m.burn_time", "m.round"), "arrivals"), k + 1
-    return known.drop("round")
+def next_arrivals(burned: DataFrame, edges: DataFrame) -> DataFrame:
+    """(sim, i, j, arrives): the earliest time at which a front from burned cells (sim, i, j, burn_time) enters each neighbour."""
+    reached = burned.select("sim", "i", "j", "burn_time").join(edges, ["i", "j"])
+    return reached.groupBy("sim", F.col("to_i").alias("i"), F.col("to_j").alias("j")).agg(F.min(F.col("burn_time") + F.col("minutes")).alias("arrives"))

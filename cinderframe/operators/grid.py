@@ -89,21 +89,88 @@ def bounding_box(cells: DataFrame, inside: Column) -> DataFrame:
     return hit.agg(*(f(c).alias(f"{n}_{c}") for c in ("i", "j") for f, n in ((F.min, "min"), (F.max, "max"))))
 
 
+def clipped(cells: DataFrame, box: DataFrame) -> DataFrame:
+    """Cells within a box (min_i, max_i, min_j, max_j), counted from its corner. The box is one row."""
+    inside = cells.join(F.broadcast(box), F.col("i").between(F.col("min_i"), F.col("max_i")) & F.col("j").between(F.col("min_j"), F.col("max_j")))
+    moved = {"i": F.col("i") - F.col("min_i"), "j": F.col("j") - F.col("min_j")}
+    return inside.select(*(moved.get(c, F.col(c)).alias(c) for c in cells.columns))
+
+
+def difference(before: Column, here: Column, after: Column) -> Column:
+    """Central difference, one-sided beside a missing value, 0 if two of three are missing."""
+    return F.coalesce((after - before) * 0.5, after - here, here - before, F.lit(0.0))
+
+
+def incidence_cosine(vectors: DataFrame, arrivals: DataFrame, keys: list[str], fallback: float = 1.0) -> DataFrame:
+    """Cosine between a front's normal, guessed from arrival times around a cell, and each vector's direction.
+
+    ``vectors``: keys, i, j, direction (degrees from north), at_cell (whether its own cell has ignited, else the one it
+    comes from counts), di, dj (its step). ``arrivals``: keys, i, j, burn_time, -1 where nothing burned.
+    """
+    at = vectors.withColumns({"_i": F.when(F.col("at_cell"), F.col("i")).otherwise(F.col("i") - F.col("di")), "_j": F.when(F.col("at_cell"), F.col("j")).otherwise(F.col("j") - F.col("dj"))})
+    places = at.select(*keys, "_i", "_j").distinct()
+    burned = arrivals.where("burn_time != -1")
+    steps = {"c": (0, 0), "u": (-1, 0), "d": (1, 0), "l": (0, -1), "r": (0, 1)}
+    at_steps = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in steps.items()))
+    near = burned.select(*keys, "i", "j", "burn_time", F.explode(at_steps).alias("s")).select(*keys, (F.col("i") - F.col("s.a")).alias("_i"), (F.col("j") - F.col("s.b")).alias("_j"), F.col("s.n").alias("n"), "burn_time")
+    wide = near.join(places, [*keys, "_i", "_j"], "left_semi").groupBy(*keys, "_i", "_j").agg(*(F.max(F.when(F.col("n") == n, F.col("burn_time"))).alias(f"_{n}") for n in steps))
+    out = at.join(wide, [*keys, "_i", "_j"], "left")
+    gi, gj = difference(F.col("_u"), F.col("_c"), F.col("_d")), difference(F.col("_l"), F.col("_c"), F.col("_r"))
+    out = out.withColumns({"_gi": gi, "_gj": gj})
+    size = F.sqrt(F.col("_gi") * F.col("_gi") + F.col("_gj") * F.col("_gj"))
+    turn = F.radians("direction")
+    cosine = (F.col("_gi") * -F.cos(turn) + F.col("_gj") * F.sin(turn)) / F.nullif(size, F.lit(0.0))
+    return out.withColumn("cosine", F.coalesce(cosine, F.lit(fallback))).select(*vectors.columns, "cosine")
+
+
+def venn_class(observed: Column, simulated: Column, ignited: Column) -> Column:
+    """4: ignited, 2.5: burned in both, 1: only observed, 5: only simulated, 0: neither."""
+    return F.when(ignited, 4.0).when(observed & simulated, 2.5).when(observed, 1.0).when(simulated, 5.0).otherwise(0.0)
+
+
+def rescaled(cells: DataFrame, value: str, factor: int) -> DataFrame:
+    """A coarser layer: the mean of each block of ``factor`` by ``factor`` cells, those without value left out."""
+    coarse = cells.groupBy(F.floor(F.col("i") / factor).cast("int").alias("i"), F.floor(F.col("j") / factor).cast("int").alias("j"))
+    return coarse.agg(F.avg(value).alias(value))
+
+
 def tile_offsets(tiles: DataFrame) -> DataFrame:
-    """Place tiles (tile_row, tile_col, height, width) in one raster by running sums of heights and widths."""
+    """Place tiles (tile_row, tile_col, height, width) in one raster by running sums of heights and widths.
+
+    The windows hold a row for each row or column of tiles: the sides of one raster's grid, not its tiles.
+    """
     rows = tiles.groupBy("tile_row").agg(F.max("height").alias("h"))
     cols = tiles.groupBy("tile_col").agg(F.max("width").alias("w"))
-    # as many rows as the grid has tile rows or columns
     up, left = Window.partitionBy(F.lit(0)).orderBy("tile_row"), Window.partitionBy(F.lit(0)).orderBy("tile_col")
     rows = rows.withColumn("row0", F.sum("h").over(up) - F.col("h")).drop("h")
     cols = cols.withColumn("col0", F.sum("w").over(left) - F.col("w")).drop("w")
     return tiles.join(rows, "tile_row").join(cols, "tile_col")
 
 
-def torn_tiles(tiles: DataFrame, start: str, size: str) -> DataFrame:
-    """Neighbouring tiles of one row whose extents do not meet."""
-    w = Window.partitionBy("tile_row").orderBy("tile_col")
-    return tiles.withColumn("next_start", F.lead(start).over(w)).where(F.col("next_start") != F.col(start) + F.col(size))
+def stitched(cells: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Cells of tiles (tile_row, tile_col, i, j, ...) at their places in the whole raster."""
+    placed = cells.join(tile_offsets(tiles).select("tile_row", "tile_col", "row0", "col0"), ["tile_row", "tile_col"])
+    moved = {"i": (F.col("i") + F.col("row0")).cast("int"), "j": (F.col("j") + F.col("col0")).cast("int")}
+    return placed.select(*(moved.get(c, F.col(c)).alias(c) for c in cells.columns if c not in ("tile_row", "tile_col")))
+
+
+def tile_faults(tiles: DataFrame, near: float = 1e-6) -> DataFrame:
+    """(tile_row, tile_col, fault) of tiles that do not make one raster: heights that differ in a row, widths in a column,
+    scales in the whole grid, or corners that do not meet the neighbour's (x, y of the upper left, in map units, y going
+    up). A missing tile is a fault too. Needs tile_row, tile_col, height, width, scale, x, y."""
+    one = tiles.agg(F.min("scale").alias("s0"), F.countDistinct("tile_col").alias("n"))
+    row, col = Window.partitionBy("tile_row"), Window.partitionBy("tile_col")
+    marked = tiles.join(F.broadcast(one)).withColumns({
+        "h0": F.min("height").over(row), "w0": F.min("width").over(col), "have": F.count("*").over(row),
+        "next_x": F.lead("x").over(row.orderBy("tile_col")), "next_y": F.lead("y").over(col.orderBy("tile_row")),
+    })
+    apart = lambda a, b: F.coalesce(F.abs(a - b) > near, F.lit(False))
+    faults = {
+        "height": F.col("height") != F.col("h0"), "width": F.col("width") != F.col("w0"), "scale": apart(F.col("scale"), F.col("s0")), "missing": F.col("have") != F.col("n"),
+        "right": apart(F.col("x") + F.col("width") * F.col("scale"), F.col("next_x")), "below": apart(F.col("y") - F.col("height") * F.col("scale"), F.col("next_y")),
+    }
+    found = F.array_compact(F.array(*(F.when(c, n) for n, c in faults.items())))
+    return marked.select("tile_row", "tile_col", F.explode(found).alias("fault"))
 
 
 def union_cells(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -115,7 +182,7 @@ def common_cells(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def except_cells(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("i", "j").exceptAll(b.select("i", "j")).distinct()
+    return a.select("i", "j").subtract(b.select("i", "j"))
 
 
 def sparse(cells: DataFrame, value: str, n_cols: int) -> DataFrame:
