@@ -66,3 +66,18 @@ def landing(wind_to: Column, along: Column, across: Column, cell: float) -> tupl
     w = F.radians(wind_to)
     dx, dy = along * F.sin(w) + across * F.cos(w), -along * F.cos(w) + across * F.sin(w)
     return F.floor(dy / cell + 0.5), F.floor(dx / cell + 0.5)
+
+
+def distance_variance(normalized: Column, mean_metres: Column) -> Column:
+    """Variance of the downwind distance (m2) from its mean."""
+    return normalized * mean_metres
+
+
+def sardoy(intensity: Column, wind: Column, a: float, p: float, q: float, b: float) -> Column:
+    """Sardoy's form for mu and sigma of the lognormal distance: intensity in kW/m, wind in m/s."""
+    return a * (F.pow(intensity * 0.001, F.lit(p)) * F.pow(wind, F.lit(q))) + b
+
+
+def spots_at_all(crowns: Column, crown_share: Column, intensity: Column, critical: Column, surface_share: Column, draw: Column) -> Column:
+    """Whether a burning cell throws firebrands: by a share of crown fires, else of surface fires over a critical intensity."""
+    return F.when(crowns, crown_share >= draw).otherwise((intensity > F.coalesce(critical, F.lit(0.0))) & (F.coalesce(surface_share, F.lit(0.0)) >= draw))

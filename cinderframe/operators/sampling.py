@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ BUCKETS = 1024
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """A number in [0, 1) fixed by the seed and keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) fixed by the seed and keys: the first 52 bits of their text's MD5, the same in any SQL engine."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
 def from_range(seed: int, low: float, high: float, *keys: Column) -> Column:
@@ -34,6 +37,40 @@ def normal(seed: int, mean: float, deviation: float, *keys: Column) -> Column:
     return F.lit(mean) + deviation * F.sqrt(-2.0 * F.ln(1.0 - u)) * F.cos(v * F.lit(6.283185307179586))
 
 
+def lognormal(seed: int, mu: Column, sigma: Column, *keys: Column) -> Column:
+    return F.exp(mu + sigma * normal(seed, 0.0, 1.0, *keys))
+
+
+def poisson(seed: int, mean: float, *keys: Column) -> Column:
+    """A Poisson count by inversion: how many of its cumulative probabilities one uniform draw reaches.
+
+    The sum ends where the rest is below 1e-12, about mean + 8 deviations + 12: beyond what a double's draw can reach.
+    """
+    top, p, total, steps = int(mean + 8 * mean**0.5 + 12), math.exp(-mean), 0.0, []
+    for k in range(top + 1):
+        total += p
+        steps.append(total)
+        p *= mean / (k + 1)
+    u = uniform(seed, *keys)
+    return F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= u)).cast("int")
+
+
+def between_draws(seed: int, low, high, *keys: Column) -> Column:
+    """A draw between bounds that may be ranges (tuples) themselves."""
+    lo, hi = (from_range(seed + k, *x, *keys) if isinstance(x, tuple) else F.lit(float(x)) for k, x in ((1, low), (2, high)))
+    return lo + uniform(seed, *keys) * (hi - lo)
+
+
+def start_time(ignited: Column, weather_began: Column) -> Column:
+    """Minutes from the weather's first hour to ignition."""
+    return (F.unix_micros(ignited.cast("timestamp")) - F.unix_micros(weather_began.cast("timestamp"))) / 1000.0 * 0.000016667
+
+
+def started_at(minutes: Column, weather_began: Column) -> Column:
+    """The time of ignition; minutes are cut off to milliseconds."""
+    return F.timestamp_micros(F.unix_micros(weather_began.cast("timestamp")) + (minutes * 60000.0).cast("bigint") * 1000)
+
+
 def bucket(*keys: Column) -> Column:
     """An arithmetic hash of coordinates into 1024 buckets, the same in any SQL engine."""
     total = F.lit(0).cast("bigint")
@@ -56,12 +93,25 @@ def smoothed_perturbation(low: float, high: float, step: float, i: Column, j: Co
 
 
 def ignition_sites(cells: DataFrame, n: int, ignitable: Column, seed: int) -> DataFrame:
-    """n distinct sites, one a simulation: those of the smallest hash. Fewer cells than n are used in turns."""
-    found = cells.where(ignitable).select("i", "j", F.xxhash64(F.lit(seed), "i", "j").alias("_h"))
-    few = found.orderBy("_h", "i", "j").limit(n)  # a top-k, n being the number of simulations
-    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", "i", "j")) - 1)
-    have = ranked.count()
-    if not have:
-        return ranked.select(F.lit(0).alias("sim"), "i", "j").limit(0)
-    turns = ranked.select("i", "j", F.explode(F.sequence(F.col("_r"), F.lit(n - 1), F.lit(have))).alias("sim"))
+    """n sites, one a simulation: the ignitable cells of the smallest draws. Fewer cells than n are used in turns.
+
+    n is the number of simulations: the top-k and its one window hold as many rows.
+    """
+    found = cells.where(ignitable).select("i", "j", uniform(seed, F.col("i"), F.col("j")).alias("_h"))
+    few = found.orderBy("_h", "i", "j").limit(n)
+    ranked = few.withColumns({"_r": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_h", "i", "j")) - 1, "_n": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    turns = ranked.select("i", "j", F.explode(F.sequence(F.col("_r"), F.lit(n - 1), F.col("_n").cast("int"))).alias("sim"))
     return turns.select(F.col("sim").cast("int").alias("sim"), "i", "j")
+
+
+def firebrands(sources: DataFrame, seed: int, mean_brands: float, keys: list[str]) -> DataFrame:
+    """Sources (keys, mu, sigma, sigma_across in feet) once for each of their firebrands: brand, along and across (feet).
+
+    Their number is a Poisson draw, the distance along the wind lognormal (metres to feet), that across it normal.
+    """
+    own = [F.col(k) for k in keys]
+    thrown = sources.withColumn("_n", poisson(seed, mean_brands, *own)).where("_n > 0").withColumn("brand", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+    own.append(F.col("brand"))
+    along = lognormal(seed + 10, F.col("mu"), F.col("sigma"), *own) * 3.281
+    across = normal(seed + 20, 0.0, 1.0, *own) * F.col("sigma_across") * 3.281
+    return thrown.withColumns({"along": along, "across": across})
