@@ -40,15 +40,18 @@ def parse_header(text: str) -> dict[str, str]:
 def read_bsq(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Cells of band-sequential files, each beside its .hdr. A file is one task's memory; tile larger rasters.
 
-    Headers are a line of metadata a raster and come to the driver; the data stays on executors.
+    Files meet their headers by path, so equal names in several folders stay apart; nothing comes to the driver.
     """
-    headers = {r["path"].rsplit("/", 1)[-1].removesuffix(".hdr"): parse_header(bytes(r["content"]).decode()) for r in spark.read.format("binaryFile").load([p.removesuffix(".bsq") + ".hdr" for p in paths]).collect()}
+    files = spark.read.format("binaryFile")
+    stem = F.regexp_replace("path", r"\.(bsq|hdr)$", "")
+    headers = files.load([p.removesuffix(".bsq") + ".hdr" for p in paths]).select(stem.alias("stem"), F.col("content").alias("header"))
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
-                layer = path.rsplit("/", 1)[-1].removesuffix(".bsq")
-                h = headers[layer]
+            for path, layer, content, header in zip(*(c.to_pylist() for c in batch.columns)):
+                if header is None:
+                    raise ValueError(f"{path} has no header beside it")
+                h = parse_header(header.decode())
                 bands, rows, cols = (int(h[k]) for k in ("bands", "lines", "samples"))
                 kind = (">" if h.get("byte order", "0") == "1" else "<") + TYPES[int(h["data type"])]
                 data = np.frombuffer(content, kind, offset=int(h.get("header offset", 0)))
@@ -59,8 +62,8 @@ def read_bsq(spark: SparkSession, paths: list[str]) -> DataFrame:
                     n = len(i)
                     yield pa.RecordBatch.from_arrays([pa.array([layer] * n), pa.array(np.full(n, b, np.int32)), pa.array(i), pa.array(j), pa.array(band.ravel().astype(np.float64))], ["layer", "b", "i", "j", "v"])
 
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "layer string, b int, i int, j int, v double")
+    data = files.load(paths).select("path", stem.alias("stem"), F.regexp_extract("path", r"([^/]*)\.bsq$", 1).alias("layer"), "content")
+    return data.join(headers, "stem", "left").select("path", "layer", "content", "header").mapInArrow(run, "layer string, b int, i int, j int, v double")
 
 
 def header_rows(texts: DataFrame, column: str = "value") -> DataFrame:
