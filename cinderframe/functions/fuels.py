@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values (Anderson 1982, Scott and Burgan 2005): number, name, depth (ft), dead extinction moisture (%),
 #: heat (1000 Btu/lb), loads (lb/ft2) and surface-to-volume ratios (1/ft) of dead 1h, 10h, 100h, live herb, woody.
+#: 98 and 99 bear the names that fire models with consecutive ones give them; Scott and Burgan call them NB8 and NB9.
 MODELS = """
 1 R01 1.0 12 8 0.0340 0 0 0 0 3500 0 0 0 0
 2 R02 1.0 15 8 0.0920 0.0460 0.0230 0.0230 0 3000 109 30 1500 0

@@ -51,7 +51,8 @@ def sun_hours(lat: Column, lon: Column, angle: Column) -> tuple[Column, Column]:
 
 
 def clock(hour: Column) -> Column:
-    """HH:MM of an hour, wrapped to a day; minutes are rounded half up."""
+    """HH:MM of an hour, wrapped to a day; minutes are rounded half up, so the last half minute of an hour shows as :60, which
+    readers of burn periods take as the next hour."""
     minutes = F.floor((hour - F.when(hour < 0, F.ceil(hour)).otherwise(F.floor(hour))) * 60.0 + 0.5)
     return F.format_string("%02d:%02d", F.pmod(F.floor(hour), F.lit(24)).cast("int"), minutes.cast("int"))
 
