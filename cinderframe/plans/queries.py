@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import containment, crown, fuels, spotting, surface, units, weather as wx
-from ..operators import arrival, ensemble, grid, intervals, replay, sampling
+from ..operators import arrival, ensemble, grid, intervals, replay, sampling, suppression
 from ..sources import sparse_binary, tables
-from ..shared import stored
 from . import landscape as land
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +55,12 @@ def recode_threshold(spark, sf_dir):
     return land.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("ignited"), big.alias("kept"))
 
 
-@query(f"WITH {land.CELLS} SELECT i, j, round(elevation * 3.281e0, 6) AS elevation, round(((aspect + 90) % 360), 6) AS aspect, canopy_cover * 435.6e0 / 43560e0 AS acres FROM cells")
+@query(f"WITH {land.CELLS} SELECT i, j, elevation * 3.281e0 AS elevation, (aspect + 90) % 360 AS aspect, canopy_cover * 435.6e0 / 43560e0 AS acres FROM cells")
 def layer_conversion(spark, sf_dir):
     """Layer converters chosen by layer and units, an angle correction, cell counts to acres."""
     c = land.cells(spark, sf_dir)
     acres = F.col("canopy_cover") * 435.6 / units.ACRE_SQUARE_FEET
-    return c.select("i", "j", F.round(units.layer_value(F.col("elevation"), "elevation", "metric"), 6).alias("elevation"), F.round(units.layer_value(F.col("aspect"), "aspect", None, rotate=90.0), 6).alias("aspect"), acres.alias("acres"))
+    return c.select("i", "j", units.layer_value(F.col("elevation"), "elevation", "metric").alias("elevation"), units.layer_value(F.col("aspect"), "aspect", None, rotate=90.0).alias("aspect"), acres.alias("acres"))
 
 
 # --- filters and dimension joins ----------------------------------------------------------------------------------
@@ -104,10 +103,11 @@ def interval_lookup(spark, sf_dir):
     return intervals.lookup(land.cells(spark, sf_dir), "model", _interval_table(spark, _RANGES)).select("i", "j", "model", "v")
 
 
-@query("WITH a AS (SELECT p_size AS lo, p_size + 9 AS hi, count(*) AS v1 FROM part GROUP BY p_size), b AS (SELECT * FROM (VALUES (50, 120, 1.0e0), (1, 20, 2.0e0), (15, 30, 3.0e0)) AS t(lo, hi, v2)) SELECT CAST(greatest(a.lo, b.lo) AS INT) AS lo, CAST(least(a.hi, b.hi) AS INT) AS hi, v1, v2 FROM a JOIN b ON a.lo <= b.hi AND b.lo <= a.hi")
+@query("WITH a AS (SELECT p_size AS lo, p_size + 9 AS hi, count(*) AS v1 FROM part GROUP BY p_size), b AS (SELECT min(s_suppkey % 50) AS lo, min(s_suppkey % 50) + 70 AS hi, CAST(s_nationkey AS INT) AS v2 FROM supplier GROUP BY s_nationkey) SELECT CAST(greatest(a.lo, b.lo) AS INT) AS lo, CAST(least(a.hi, b.hi) AS INT) AS hi, v1, v2 FROM a JOIN b ON a.lo <= b.hi AND b.lo <= a.hi")
 def interval_overlap(spark, sf_dir):
     a = land.table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("lo")).agg((F.max("p_size") + 9).alias("hi"), F.count("*").alias("v"))
-    return intervals.combine(a, spark.createDataFrame([(50, 120, 1.0), (1, 20, 2.0), (15, 30, 3.0)], "lo int, hi int, v double")).select(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "v1", "v2")
+    b = land.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("v")).agg(F.min(F.col("s_suppkey") % 50).alias("lo"), (F.min(F.col("s_suppkey") % 50) + 70).alias("hi"))
+    return intervals.combine(a, b).select(F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"), "v1", "v2")
 
 
 @query("WITH a AS (SELECT DISTINCT p_size AS lo, p_size AS hi, p_size // 7 AS v FROM part WHERE p_size % 11 != 0), m AS (SELECT *, CASE WHEN lag(hi) OVER (PARTITION BY v ORDER BY lo) + 1 = lo THEN 0 ELSE 1 END AS new FROM a), r AS (SELECT *, sum(new) OVER (PARTITION BY v ORDER BY lo) AS run FROM m) SELECT min(lo) AS lo, max(hi) AS hi, v FROM r GROUP BY v, run")
@@ -116,26 +116,29 @@ def interval_merge(spark, sf_dir):
     return intervals.merge_adjacent(a)
 
 
-@query("SELECT * FROM (VALUES (0, 0, -1e0), (1, 100, 0.1e0), (101, 150, -1e0), (151, 180, 0.3e0), (181, 189, -1e0), (190, 256, 0.4e0), (257, 300, -1e0)) AS t(lo, hi, v)")
+@query("WITH a AS (SELECT DISTINCT CAST(p_size AS INT) AS lo, CAST(p_size // 7 AS DOUBLE) AS v FROM part WHERE p_size % 3 != 0), n AS (SELECT lo, lo AS hi, v, COALESCE(lead(lo) OVER (ORDER BY lo), 61) AS nxt, lag(lo) OVER (ORDER BY lo) AS prv FROM a) SELECT lo, hi, v FROM n UNION ALL SELECT hi + 1, nxt - 1, -1e0 FROM n WHERE nxt > hi + 1 UNION ALL SELECT 0, lo - 1, -1e0 FROM n WHERE prv IS NULL AND lo > 0")
 def interval_fill(spark, sf_dir):
-    return intervals.fill_gaps(_interval_table(spark, [r for r in _RANGES if r[3] != 1]), 0, 300, -1.0)
+    """Sizes that occur, and what lies between them from 0 to 60 at a default value."""
+    a = land.table(spark, sf_dir, "part").where("p_size % 3 != 0").select(F.col("p_size").cast("int").alias("lo"), F.col("p_size").cast("int").alias("hi"), F.expr("CAST(p_size div 7 AS DOUBLE)").alias("v")).distinct()
+    return intervals.fill_gaps(a, 0, 60, -1.0)
 
 
 # --- rasters ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {land.CELLS}, {land.WEATHER} SELECT c.i, c.j, b, temperature, wind_speed_20ft FROM cells c JOIN weather w ON CAST(floor(c.i * 0.1e0) AS INT) = bi AND CAST(floor(c.j * 0.1e0) AS INT) = bj WHERE b < 24")
+@query(f"WITH {land.CELLS}, {land.WEATHER} SELECT c.i, c.j, b, temperature, wind_speed_20ft FROM cells c JOIN weather w ON CAST(floor(c.i * 0.1e0) AS INT) = bi AND CAST(floor(c.j * 0.1e0) AS INT) = bj")
 def weather_multires_join(spark, sf_dir):
     """Hourly weather of a tenth of the resolution for every cell."""
-    coarse = land.weather(spark, sf_dir).where("b < 24").select(F.col("bi").alias("i"), F.col("bj").alias("j"), "b", "temperature", "wind_speed_20ft")
+    coarse = land.weather(spark, sf_dir).select(F.col("bi").alias("i"), F.col("bj").alias("j"), "b", "temperature", "wind_speed_20ft")
     return grid.align(land.cells(spark, sf_dir).select("i", "j"), coarse, 0.1, how="inner").select("i", "j", "b", "temperature", "wind_speed_20ft")
 
 
-@query(f"WITH {land.WEATHER} SELECT o_orderkey, CAST(floor(m / 60) AS INT) AS b, temperature FROM (SELECT o_orderkey, (o_orderkey * 37) % 43200 AS m FROM orders) o LEFT JOIN (SELECT * FROM weather WHERE bi = 0 AND bj = 0) w ON w.b = CAST(floor(m / 60) AS INT)")
+@query(f"WITH {land.WEATHER} SELECT o_orderkey, o.bi, o.bj, CAST(floor(m / 60) AS INT) AS b, temperature FROM (SELECT o_orderkey, (o_orderkey * 37) % 43200 AS m, CAST((o_custkey % 16) // 4 AS INT) AS bi, CAST(o_custkey % 4 AS INT) AS bj FROM orders) o LEFT JOIN weather w ON w.b = CAST(floor(m / 60) AS INT) AND w.bi = o.bi AND w.bj = o.bj")
 def weather_band_join(spark, sf_dir):
-    """The weather band in force at a minute."""
-    o = land.table(spark, sf_dir, "orders").select("o_orderkey", grid.hour_band((F.col("o_orderkey") * 37) % 43200).cast("int").alias("b"))
-    return o.join(land.weather(spark, sf_dir).where("bi = 0 AND bj = 0").select("b", "temperature"), "b", "left").select("o_orderkey", "b", "temperature")
+    """The weather band in force at a minute, in each order's own weather cell."""
+    cell = [F.floor((F.col("o_custkey") % 16) / 4).cast("int").alias("bi"), (F.col("o_custkey") % 4).cast("int").alias("bj")]
+    o = land.table(spark, sf_dir, "orders").select("o_orderkey", *cell, grid.hour_band((F.col("o_orderkey") * 37) % 43200).cast("int").alias("b"))
+    return o.join(land.weather(spark, sf_dir).select("b", "bi", "bj", "temperature"), ["b", "bi", "bj"], "left").select("o_orderkey", "bi", "bj", "b", "temperature")
 
 
 _PAIRS = "JOIN cells n ON abs(n.i - c.i) <= 1 AND abs(n.j - c.j) <= 1 AND (n.i != c.i OR n.j != c.j)"
@@ -161,9 +164,9 @@ def diagonal_barriers(spark, sf_dir):
     return grid.blocked_diagonals(land.cells(spark, sf_dir), F.col("model") % 2 == 1)
 
 
-@query(f"WITH {land.CELLS} SELECT c.i, c.j, round(COALESCE((d.elevation - u.elevation) / 2, d.elevation - c.elevation, c.elevation - u.elevation), 6) AS d_di, round(COALESCE((r.elevation - l.elevation) / 2, r.elevation - c.elevation, c.elevation - l.elevation), 6) AS d_dj FROM cells c LEFT JOIN cells u ON u.i = c.i - 1 AND u.j = c.j LEFT JOIN cells d ON d.i = c.i + 1 AND d.j = c.j LEFT JOIN cells l ON l.i = c.i AND l.j = c.j - 1 LEFT JOIN cells r ON r.i = c.i AND r.j = c.j + 1")
+@query(f"WITH {land.CELLS} SELECT c.i, c.j, COALESCE((d.elevation - u.elevation) / 2, d.elevation - c.elevation, c.elevation - u.elevation) AS d_di, COALESCE((r.elevation - l.elevation) / 2, r.elevation - c.elevation, c.elevation - l.elevation) AS d_dj FROM cells c LEFT JOIN cells u ON u.i = c.i - 1 AND u.j = c.j LEFT JOIN cells d ON d.i = c.i + 1 AND d.j = c.j LEFT JOIN cells l ON l.i = c.i AND l.j = c.j - 1 LEFT JOIN cells r ON r.i = c.i AND r.j = c.j + 1")
 def elevation_gradient(spark, sf_dir):
-    return rounded(grid.gradient(land.cells(spark, sf_dir).select("i", "j", "elevation"), "elevation"), "d_di", "d_dj").select("i", "j", "d_di", "d_dj")
+    return grid.gradient(land.cells(spark, sf_dir).select("i", "j", "elevation"), "elevation").select("i", "j", "d_di", "d_dj")
 
 
 @query(f"WITH {land.CELLS} SELECT CAST(min(i) AS INT) AS min_i, CAST(max(i) AS INT) AS max_i, CAST(min(j) AS INT) AS min_j, CAST(max(j) AS INT) AS max_j FROM cells WHERE slope > 0.058")
@@ -176,36 +179,39 @@ def data_row_range(spark, sf_dir):
     return grid.data_rows(land.cells(spark, sf_dir).select("i", (F.col("aspect") - 350).alias("v")), "v").select(F.col("first_row").cast("int").alias("first_row"), F.col("end_row").cast("int").alias("end_row"))
 
 
-_TILES = "tiles AS (SELECT CAST(p_partkey % 5 AS INT) AS tile_row, CAST((p_partkey // 5) % 4 AS INT) AS tile_col, CAST(40 + p_partkey % 5 * 3 AS BIGINT) AS height, CAST(20 + (p_partkey // 5) % 4 * 7 AS BIGINT) AS width FROM part WHERE p_partkey < 20)"
+_TILES = "tiles AS (SELECT CAST(p_partkey // 40 AS INT) AS tile_row, CAST(p_partkey % 40 AS INT) AS tile_col, CAST(40 + p_partkey // 40 % 3 AS BIGINT) AS height, CAST(20 + p_partkey % 40 * 7 % 11 AS BIGINT) AS width FROM part)"
 
 
 @query(f"WITH {_TILES}, r AS (SELECT tile_row, sum(h) OVER (ORDER BY tile_row) - h AS row0 FROM (SELECT tile_row, max(height) AS h FROM tiles GROUP BY 1)), c AS (SELECT tile_col, sum(w) OVER (ORDER BY tile_col) - w AS col0 FROM (SELECT tile_col, max(width) AS w FROM tiles GROUP BY 1)) SELECT tile_row, tile_col, height, width, CAST(row0 AS BIGINT) AS row0, CAST(col0 AS BIGINT) AS col0 FROM tiles JOIN r USING (tile_row) JOIN c USING (tile_col)")
 def tile_stitching(spark, sf_dir):
-    p, k = land.table(spark, sf_dir, "part").where("p_partkey < 20"), F.col("p_partkey")
-    col = F.floor(k / 5) % 4
-    return grid.tile_offsets(p.select((k % 5).cast("int").alias("tile_row"), col.cast("int").alias("tile_col"), (k % 5 * 3 + 40).cast("bigint").alias("height"), (col * 7 + 20).cast("bigint").alias("width"))).select("tile_row", "tile_col", "height", "width", "row0", "col0")
+    """Every part a tile of a grid of 40 columns, with as many rows as there are parts for."""
+    row, col = F.expr("p_partkey div 40"), F.col("p_partkey") % 40
+    tiles = land.table(spark, sf_dir, "part").select(row.cast("int").alias("tile_row"), col.cast("int").alias("tile_col"), (row % 3 + 40).cast("bigint").alias("height"), (col * 7 % 11 + 20).cast("bigint").alias("width"))
+    return grid.tile_offsets(tiles).select("tile_row", "tile_col", "height", "width", "row0", "col0")
 
 
-_A, _B = "SELECT DISTINCT CAST(l_orderkey % 40 AS INT) AS i, CAST(l_partkey % 40 AS INT) AS j FROM lineitem WHERE l_linenumber = 6", "SELECT DISTINCT CAST(l_orderkey % 40 AS INT) AS i, CAST(l_partkey % 40 AS INT) AS j FROM lineitem WHERE l_linenumber = 7"
+_A, _B = "SELECT DISTINCT i, j FROM sims WHERE burn_time <= 50", "SELECT DISTINCT i, j FROM sims WHERE flame_length > 120"
 
 
-def _burned(spark, sf_dir, number):
-    return land.sims(spark, sf_dir).where(F.col("sim") == number)
+def _two_areas(spark, sf_dir):
+    """Cells that any simulation burned early, and those that any burned high."""
+    sims = land.sims(spark, sf_dir)
+    return sims.where("burn_time <= 50"), sims.where("flame_length > 120")
 
 
-@query(f"{_A} UNION {_B}")
+@query(f"WITH {land.SIMS} {_A} UNION {_B}")
 def union_burned(spark, sf_dir):
-    return grid.union_cells(_burned(spark, sf_dir, 6), _burned(spark, sf_dir, 7))
+    return grid.union_cells(*_two_areas(spark, sf_dir))
 
 
-@query(f"{_A} INTERSECT {_B}")
+@query(f"WITH {land.SIMS} {_A} INTERSECT {_B}")
 def intersect_burned(spark, sf_dir):
-    return grid.common_cells(_burned(spark, sf_dir, 6), _burned(spark, sf_dir, 7))
+    return grid.common_cells(*_two_areas(spark, sf_dir))
 
 
-@query(f"{_A} EXCEPT {_B}")
+@query(f"WITH {land.SIMS} {_A} EXCEPT {_B}")
 def except_burned(spark, sf_dir):
-    return grid.except_cells(_burned(spark, sf_dir, 6), _burned(spark, sf_dir, 7))
+    return grid.except_cells(*_two_areas(spark, sf_dir))
 
 
 @query(f"WITH {land.CELLS} SELECT CAST(i AS BIGINT) * 40 + j AS cell, slope FROM cells WHERE slope > 0")
@@ -387,29 +393,42 @@ def spot_landing(spark, sf_dir):
     return c.select("i", "j", F.round(mu, 6).alias("mu"), F.round(sd, 6).alias("sd"), F.round(spotting.crosswind_sigma(mu, sd), 3).alias("across"), di.alias("rows_off"), dj.alias("cols_off"))
 
 
-@query(f"WITH {land.SIMS}, c AS (SELECT sim, avg(i) AS ci, avg(j) AS cj FROM sims GROUP BY sim), t AS (SELECT sims.sim, CAST(floor((degrees(atan2(i - ci, j - cj)) + CASE WHEN i < ci THEN 360 ELSE 0 END) / 5) AS INT) AS slice, flame_length FROM sims JOIN c USING (sim)) SELECT sim, slice, count(*) AS n, round(avg(flame_length), 6) AS rate FROM t GROUP BY ALL")
+SLICES = f"""{land.SIMS}, centre AS (SELECT sim, CAST(trunc(avg(i)) AS INT) AS ci, CAST(trunc(avg(j)) AS INT) AS cj FROM (SELECT DISTINCT sim, i, j FROM sims) GROUP BY sim),
+placed AS (SELECT s.sim, i, j, flame_length, CAST(floor((degrees(atan2(i - ci, j - cj)) + CASE WHEN i < ci THEN 360 ELSE 0 END) / 5) AS INT) AS slice FROM sims s JOIN centre USING (sim)),
+slices AS (SELECT e.sim, e.slice, COALESCE(rate, 0e0) AS rate, COALESCE(n, 0) AS n FROM (SELECT sim, CAST(unnest(range(72)) AS INT) AS slice FROM centre) e LEFT JOIN (SELECT sim, slice, sum(flame_length) / count(*) AS rate, count(DISTINCT i * 1000 + j) AS n FROM placed GROUP BY 1, 2) g ON g.sim = e.sim AND g.slice = e.slice)"""
+
+
+def front_slices(spark, sf_dir):
+    return suppression.slices(land.sims(spark, sf_dir).withColumn("spread_rate", F.col("flame_length")))
+
+
+@query(f"WITH {SLICES} SELECT sim, slice, n, round(rate, 6) AS rate FROM slices")
 def suppression_slices(spark, sf_dir):
-    """Burned cells in angular slices around each fire's centre."""
-    s = land.sims(spark, sf_dir)
-    centre = s.groupBy("sim").agg(F.avg("i").alias("ci"), F.avg("j").alias("cj"))
-    theta = containment.bearing(F.col("i"), F.col("j"), F.col("ci"), F.col("cj"))
-    return s.join(centre, "sim").groupBy("sim", containment.slice_of(theta, 5.0).cast("int").alias("slice")).agg(F.count("*").alias("n"), F.round(F.avg("flame_length"), 6).alias("rate"))
+    """Burned cells in all 72 slices around each fire's centre cell."""
+    return rounded(front_slices(spark, sf_dir), "rate").select("sim", "slice", "n", "rate")
 
 
-@query(f"WITH {land.SIMS}, n AS (SELECT sim, CAST(count(*) AS DOUBLE) AS n FROM sims GROUP BY sim) SELECT sim, round(pow(2 * (sim / 8e0) / (1 + (sim / 8e0) * (sim / 8e0)), 2e0), 6) AS by_curve, round(n * 98.425e0 * 98.425e0 / 43560 / (60 / 1440e0), 4) AS acres_a_day, round(exp(-(1 - ln(n * 98.425e0 * 98.425e0 / 43560 / (60 / 1440e0)) / ln(100000e0)) * 2e0 * 0.3e0), 6) AS difficulty FROM n")
+_GROWTH = "n * 98.425e0 * 98.425e0 / 43560 / (60 / 1440e0)"
+
+
+@query(f"WITH {land.SIMS}, n AS (SELECT sim, CAST(count(*) AS DOUBLE) AS n FROM sims GROUP BY sim), g AS (SELECT *, 1 - ln({_GROWTH}) / ln(5000 + sim * 1000e0) AS m FROM n), d AS (SELECT *, exp(CASE WHEN m >= 0 THEN -1 ELSE 1 END * 2e0 * 0.3e0) AS difficulty FROM g) SELECT sim, round(pow(2 * (sim / 8e0) / (1 + (sim / 8e0) * (sim / 8e0)), 2e0), 6) AS by_curve, round({_GROWTH}, 4) AS acres_a_day, round(difficulty, 6) AS difficulty, round(greatest(0e0, 0.2e0 + 100e0 * m * difficulty * 0.01e0 * (60 * 0.000694444e0)), 6) AS by_index FROM d")
 def containment_curves(spark, sf_dir):
+    """Fractions contained by a curve and by difficulty, over and under the growth that overwhelms suppression."""
     n = land.sims(spark, sf_dir).groupBy("sim").agg(F.count("*").cast("double").alias("n"))
     share, rate = F.col("sim") / 8.0, containment.growth_acres_per_day(F.col("n"), 98.425, 60.0)
-    sign = containment.growth_multiplier(F.lit(100000.0), rate)
-    return n.select("sim", F.round(containment.contained_by_curve(share, F.lit(2.0)), 6).alias("by_curve"), F.round(rate, 4).alias("acres_a_day"), F.round(containment.difficulty_factor(F.lit(2.0), sign, F.lit(0.3)), 6).alias("difficulty"))
+    multiplier = containment.growth_multiplier(F.col("sim") * 1000.0 + 5000.0, rate)
+    difficulty = containment.difficulty_factor(F.lit(2.0), multiplier, F.lit(0.3))
+    index = containment.contained_by_index(F.lit(0.2), F.lit(100.0), multiplier, difficulty, 60.0)
+    return n.select("sim", F.round(containment.contained_by_curve(share, F.lit(2.0)), 6).alias("by_curve"), F.round(rate, 4).alias("acres_a_day"), F.round(difficulty, 6).alias("difficulty"), F.round(index, 6).alias("by_index"))
 
 
 # --- ensembles, replay -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {land.SIMS} SELECT CAST(floor(burn_time / 200) AS BIGINT) AS band, i, j, count(*) AS burn_count FROM sims GROUP BY 1, 2, 3")
+@query(f"WITH {land.SIMS} SELECT k AS band, i, j, count(*) AS burn_count FROM sims, (SELECT unnest(range(7)) AS k) WHERE burn_time >= 0 AND burn_time <= k * 100 GROUP BY 1, 2, 3")
 def burn_count_bands(spark, sf_dir):
-    return ensemble.burn_counts(land.sims(spark, sf_dir), 200.0)
+    """How many simulations had burned a cell by the clock of each band."""
+    return ensemble.burn_counts(land.sims(spark, sf_dir), 100.0, 600.0)
 
 
 @query(f"WITH {land.SIMS} SELECT i, j, count(*) AS burn_count, count(*) / 7e0 AS burn_probability FROM sims GROUP BY 1, 2")
@@ -427,11 +446,17 @@ def layer_snapshot(spark, sf_dir):
     return ensemble.snapshot(land.sims(spark, sf_dir), 300.0, "flame_length").select("sim", "i", "j", "flame_length")
 
 
-@query(f"WITH {land.SIMS}, k AS (SELECT *, 98.425e0 * 98.425e0 / 43560e0 AS a FROM sims) SELECT sim, round(count(*) * max(a), 6) AS fire_size, round(count(*) FILTER (fire_type = 1) * max(a), 6) AS surface_fire_size, round(count(*) FILTER (fire_type >= 2) * max(a), 6) AS crown_fire_size, round(avg(flame_length), 6) AS flame_length_mean, round(stddev_pop(flame_length), 6) AS flame_length_stddev, round(avg(fire_line_intensity), 4) AS fire_line_intensity_mean, round(stddev_pop(fire_line_intensity), 4) AS fire_line_intensity_stddev FROM k GROUP BY sim")
+@query(f"""WITH {land.SIMS}, k AS (SELECT sim, i, j, fire_type, flame_length - 30 AS fl, fire_line_intensity - 20000 AS fli, CAST(flame_length AS BIGINT) % 5 = 0 AS spots, 98.425e0 * 98.425e0 / 43560e0 AS a FROM sims),
+s AS (SELECT sim, max(a) AS a, count(*) FILTER (fire_type = 1) AS n1, count(*) FILTER (fire_type >= 2) AS n2, count(*) FILTER (fl > 0) AS n, sum(fl) FILTER (fl > 0) AS s_fl, sum(fli) FILTER (fli > 0) AS s_fli, count(*) FILTER (spots) AS spot_count FROM k GROUP BY sim),
+d AS (SELECT k.sim, sqrt(sum((fl - s_fl / n) * (fl - s_fl / n)) FILTER (fl > 0) / max(n)) AS d_fl, sqrt(sum((fli - s_fli / n) * (fli - s_fli / n)) FILTER (fli > 0) / max(n)) AS d_fli FROM k JOIN s USING (sim) GROUP BY k.sim)
+SELECT sim, round((n1 + n2) * a, 6) AS fire_size, round(n1 * a, 6) AS surface_fire_size, round(n2 * a, 6) AS crown_fire_size, round(s_fl / n, 6) AS flame_length_mean, round(d_fl, 6) AS flame_length_stddev, round(s_fli / n, 3) AS fire_line_intensity_mean, round(d_fli, 3) AS fire_line_intensity_stddev, spot_count FROM s JOIN d USING (sim)""")
 def simulation_summary(spark, sf_dir):
-    out = ensemble.summary(land.sims(spark, sf_dir), 98.425)
-    six = [c for c in out.columns if c != "sim" and "line" not in c]
-    return rounded(rounded(out, *six), "fire_line_intensity_mean", "fire_line_intensity_stddev", digits=4)
+    """Sizes, means over positive values and spots of each simulation."""
+    sims = land.sims(spark, sf_dir)
+    spots = sims.where(F.col("flame_length").cast("bigint") % 5 == 0)
+    cells = sims.withColumns({"flame_length": F.col("flame_length") - 30, "fire_line_intensity": F.col("fire_line_intensity") - 20000})
+    out = ensemble.summary(cells, 98.425, spots)
+    return rounded(rounded(out, *(c for c in out.columns if c not in ("sim", "spot_count") and "line" not in c)), "fire_line_intensity_mean", "fire_line_intensity_stddev", digits=3)
 
 
 @query(f"WITH {land.SIMS}, b AS (SELECT i, j, min(burn_time) AS burn_time FROM sims GROUP BY 1, 2), a AS (SELECT i, j, CASE WHEN burn_time > 400 THEN -1e0 ELSE burn_time END AS burn_time FROM b) SELECT i, j, CASE WHEN burn_time = -1 AND EXISTS (SELECT 1 FROM a n WHERE abs(n.i - c.i) <= 1 AND abs(n.j - c.j) <= 1 AND (n.i != c.i OR n.j != c.j) AND n.burn_time > 0) THEN 201 WHEN burn_time = -1 THEN 200 WHEN floor((400 - burn_time) / 60) BETWEEN 0 AND 3 THEN CAST(floor((400 - burn_time) / 60) AS INT) + 1 WHEN floor((400 - burn_time) / 60) >= 4 THEN 5 ELSE 0 END AS class FROM a c")
@@ -453,9 +478,17 @@ def confusion_counts(spark, sf_dir):
     return replay.confusion(land.sims(spark, sf_dir), ["sim"], F.col("burn_time") < 300, F.col("flame_length") > 30)
 
 
-@query(f"WITH {land.SIMS} SELECT sim, round(quantile_cont(burn_time, 0.1), 6) AS q10, round(quantile_cont(burn_time, 0.5), 6) AS q50, round(quantile_cont(burn_time, 0.9), 6) AS q90 FROM sims GROUP BY sim")
+def _percentile(p: int) -> str:
+    at = f"greatest(1e0, least(n, {p / 100!r}e0 * (n + 1)))"
+    low = f"CAST(floor({at}) AS BIGINT)"
+    return f"round(l[{low}] + ({at} - {low}) * (l[least({low} + 1, n)] - l[{low}]), 6) AS p{p}"
+
+
+@query(f"WITH {land.SIMS}, q AS (SELECT sim, list_sort(list(burn_time / 240e0)) AS l, count(*) AS n, avg(burn_time / 240e0) AS mean FROM sims WHERE burn_time < 300 AND flame_length > 30 AND burn_time > 0 GROUP BY sim) SELECT sim, round(mean, 6) AS mean, {', '.join(map(_percentile, (50, 75, 90, 95)))} FROM (SELECT DISTINCT sim FROM sims) LEFT JOIN q USING (sim)")
 def arrival_quantiles(spark, sf_dir):
-    return rounded(replay.quantiles(land.sims(spark, sf_dir), ["sim"], "burn_time", [0.1, 0.5, 0.9]), "q10", "q50", "q90")
+    """Time of arrival over the lapse where simulation and observation both burned."""
+    out = replay.arrival_ratios(land.sims(spark, sf_dir), ["sim"], F.col("burn_time") < 300, F.col("flame_length") > 30, F.lit(240.0))
+    return rounded(out, "mean", "p50", "p75", "p90", "p95")
 
 
 @query(f"WITH {land.SIMS}, w AS (SELECT sim, flame_length, pow(burn_time / 100, 2) * exp(-burn_time / 100) AS w FROM sims) SELECT sim, round(sum(w * flame_length) / sum(w), 6) AS flame_length FROM w GROUP BY sim")
@@ -482,26 +515,48 @@ def perturbations(spark, sf_dir):
     return land.cells(spark, sf_dir).select("i", "j", *(F.round(c, 6).alias(n) for n, c in three.items()))
 
 
-@query()
+def uniform_sql(seed: int, *keys: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {seed}, {', '.join(keys)})), 1, 13) AS BIGINT) / 4503599627370496e0)"
+
+
+def normal_sql(seed: int, *keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {uniform_sql(seed, *keys)})) * cos({uniform_sql(seed + 1, *keys)} * 6.283185307179586e0))"
+
+
+@query(f"SELECT o_orderkey AS sim, round(0.5e0 + {uniform_sql(1, 'o_orderkey')} * 1.5e0, 9) AS ellipse, [60e0, 120e0, 240e0][CAST(floor({uniform_sql(2, 'o_orderkey')} * 3) AS INT) + 1] AS max_runtime, 90e0 AS foliar, round({normal_sql(4, 'o_orderkey')}, 6) AS gust FROM orders")
 def draw_samples(spark, sf_dir):
-    """Parameters of a thousand simulations: a range, a list, a constant, a normal draw."""
-    sim = F.col("id")
-    return spark.range(1000).select(sim.alias("sim"), sampling.drawn(1, (0.5, 2.0), sim).alias("ellipse"), sampling.drawn(2, [60.0, 120.0, 240.0], sim).alias("max_runtime"), sampling.drawn(3, 90.0, sim).alias("foliar"), sampling.normal(4, 0.0, 1.0, sim).alias("gust"))
+    """A simulation for every order: a range, a list, a constant and a normal draw."""
+    sim = F.col("o_orderkey")
+    out = land.table(spark, sf_dir, "orders").select(sim.alias("sim"), sampling.drawn(1, (0.5, 2.0), sim).alias("ellipse"), sampling.drawn(2, [60.0, 120.0, 240.0], sim).alias("max_runtime"), sampling.drawn(3, 90.0, sim).alias("foliar"), sampling.normal(4, 0.0, 1.0, sim).alias("gust"))
+    return rounded(rounded(out, "ellipse", digits=9), "gust")
 
 
-@query()
+@query(f"WITH {land.CELLS}, f AS (SELECT i, j, row_number() OVER (ORDER BY {uniform_sql(7, 'i', 'j')}, i, j) - 1 AS r, count(*) OVER () AS n FROM cells WHERE {_OPEN} AND i BETWEEN 3 AND 36 AND j BETWEEN 3 AND 36) SELECT CAST(sim AS INT) AS sim, i, j FROM (SELECT unnest(range(3000)) AS sim) s JOIN f ON s.sim % n = r")
 def ignition_sites(spark, sf_dir):
-    """Fifty sites among the burnable cells away from the edge."""
+    """Sites of 3,000 simulations among the burnable cells away from the edge, which they use in turns."""
     inside = F.col("i").between(3, 36) & F.col("j").between(3, 36)
-    return sampling.ignition_sites(land.cells(spark, sf_dir), 50, fuels.burnable(F.col("model")) & inside, 7)
+    return sampling.ignition_sites(land.cells(spark, sf_dir), 3000, fuels.burnable(F.col("model")) & inside, 7)
+
+
+_HEADING = "CASE " + " ".join(f"WHEN di = {di} AND dj = {dj} THEN {h}" for (di, dj), h in arrival.HEADINGS.items()) + " END"
+
+
+def _towards(prefix: str) -> str:
+    d, e, r = f"{prefix}direction", f"{prefix}ecc", f"{prefix}max_rate"
+    th = f"CASE WHEN abs({d} - h) > 180 THEN 360 - abs({d} - h) ELSE abs({d} - h) END"
+    return f"(CASE WHEN {e} < 1e-6 OR {th} < 1e-6 THEN {r} ELSE {r} * ((1 - {e}) / (1 - {e} * cos(radians({th})))) END)"
 
 
-@query()
+@query(f"""WITH {_MAXIMUM}, {land.SIMS}, f AS (SELECT i, j, elevation, max_rate, direction, ecc FROM fastest WHERE base_rate > 0 AND max_rate > 0),
+p AS (SELECT a.*, b.i AS to_i, b.j AS to_j, b.i - a.i AS di, b.j - a.j AS dj, b.elevation AS z2, b.max_rate AS t_max_rate, b.direction AS t_direction, b.ecc AS t_ecc FROM f a JOIN f b ON abs(b.i - a.i) <= 1 AND abs(b.j - a.j) <= 1 AND (a.i != b.i OR a.j != b.j)),
+m AS (SELECT *, {_HEADING} AS h, sqrt((di * di + dj * dj) * (98.425e0 * 98.425e0) + (z2 - elevation) * (z2 - elevation)) AS d FROM p),
+e AS (SELECT i, j, to_i, to_j, d * 0.5e0 / {_towards('')} + d * 0.5e0 / {_towards('t_')} AS minutes FROM m)
+SELECT sim, CAST(to_i AS INT) AS i, CAST(to_j AS INT) AS j, round(min(burn_time + minutes), 3) AS arrives FROM sims JOIN e USING (i, j) WHERE burn_time BETWEEN 0 AND 300 GROUP BY 1, 2, 3""")
 def arrival_times(spark, sf_dir):
-    """Six fires over ten minutes, all at once."""
-    fast = stored(_maximum(spark, sf_dir).select("i", "j", "elevation", "max_rate", "max_direction", "eccentricity"), "rates")
-    starts = sampling.ignition_sites(fast.select("i", "j"), 6, F.lit(True), 7).withColumn("burn_time", F.lit(0.0))
-    return arrival.arrival_times(starts, arrival.moves(fast, 98.425), 10.0)
+    """When the front of each simulation reaches the cells beside those burned by minute 300."""
+    fast = _maximum(spark, sf_dir).select("i", "j", "elevation", "max_rate", "max_direction", "eccentricity")
+    burned = land.sims(spark, sf_dir).where(F.col("burn_time").between(0, 300))
+    return rounded(arrival.next_arrivals(burned, arrival.moves(fast, 98.425)), "arrives", digits=3)
 
 
 @query(f"WITH {land.SIMS} SELECT sim, count(*) AS n_cells, 4 + 16 * count(*) AS n_bytes FROM sims WHERE burn_time > 0 GROUP BY sim")
@@ -511,12 +566,14 @@ def sparse_files(spark, sf_dir):
     return files.select("sim", ((F.length("content") - 4) / 16).cast("bigint").alias("n_cells"), F.length("content").cast("bigint").alias("n_bytes"))
 
 
-@query("SELECT part_name AS name, CAST(p_partkey % 10 AS INT) AS lo, CAST(p_partkey % 10 + p_size AS INT) AS hi, p_brand AS value FROM (SELECT *, lower(replace(p_type, ' ', '_')) AS part_name FROM part)")
+@query("SELECT lower(replace(p_type, ' ', '_')) AS name, CAST(p_partkey % 10 AS INT) AS lo, CASE WHEN p_partkey % 3 = 2 THEN NULL ELSE CAST(p_partkey % 10 + p_size AS INT) END AS hi, CASE p_partkey % 3 WHEN 0 THEN '/data/' || p_brand || ' & more!/x' WHEN 1 THEN CAST(p_size AS VARCHAR) || '.5' ELSE './it''s/' || p_brand END AS value FROM part")
 def namelist_parse(spark, sf_dir):
-    """Decks of NAME(a:b) = 'value' lines."""
-    p = land.table(spark, sf_dir, "part")
-    line = F.format_string("  %s(%d:%d) = '%s' ! note", F.replace("p_type", F.lit(" "), F.lit("_")), F.col("p_partkey") % 10, F.col("p_partkey") % 10 + F.col("p_size"), F.col("p_brand"))
-    return tables.namelist(p.select(line.alias("value")))
+    """Decks of NAME(a:b) = value lines: quoted paths with marks in them, numbers, comments, open bounds."""
+    n, k = F.col("p_partkey") % 10, F.col("p_partkey") % 3
+    bounds = F.when(k == 2, F.format_string("(%d:)", n)).otherwise(F.format_string("(%d:%d)", n, n + F.col("p_size")))
+    value = F.when(k == 0, F.format_string("'/data/%s & more!/x'", "p_brand")).when(k == 1, F.format_string("%d.5", "p_size")).otherwise(F.format_string('"./it\'s/%s"', "p_brand"))
+    line = F.concat(F.lit("  "), F.replace("p_type", F.lit(" "), F.lit("_")), bounds, F.lit(" = "), value, F.when(F.col("p_partkey") % 2 == 0, " ! note's & /").otherwise(" /"))
+    return tables.namelist(land.table(spark, sf_dir, "part").select(line.alias("value")))
 
 
 # --- text, sessions -------------------------------------------------------------------------------------------------------------------
