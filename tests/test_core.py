@@ -1,6 +1,5 @@
 """Physics against published values, operators against plain versions, queries against SQL."""
 
-import heapq
 import math
 import os
 
@@ -10,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderframe.functions import containment, crown, fuels, spotting, surface, units, weather
-from cinderframe.operators import arrival, grid, intervals, sampling
+from cinderframe.operators import intervals, sampling
 from cinderframe.plans import queries as plans
 from cinderframe.sources import envi, sparse_binary, tables
 from cinderframe.streaming import watch
@@ -96,31 +95,27 @@ def test_interval_maps(spark):
     assert {r.m: r.v for r in intervals.lookup(rows, "m", table).collect()} == {95: 0.1, 150: 0.2, 151: None, None: None}
 
 
-def test_arrival_times(spark):
-    rng = np.random.default_rng(2)
-    n, edges = 12, []
-    for i in range(n):
-        for j in range(n):
-            for di, dj in grid.OFFSETS:
-                if 0 <= i + di < n and 0 <= j + dj < n:
-                    edges.append((i, j, i + di, j + dj, float(rng.uniform(1, 9))))
-    starts = [(0, 2, 3, 0.0), (1, 8, 8, 5.0), (1, 0, 0, 0.0)]
-    got = {(r.sim, r.i, r.j): r.burn_time for r in arrival.arrival_times(spark.createDataFrame(starts, "sim int, i int, j int, burn_time double"), spark.createDataFrame(edges, "i int, j int, to_i int, to_j int, minutes double"), 12.0).collect()}
-    out: dict = {}
-    for i, j, a, b, m in edges:
-        out.setdefault((i, j), []).append((a, b, m))
-    want = {}
-    for sim in (0, 1):
-        todo = [(t, i, j) for s, i, j, t in starts if s == sim]
-        heapq.heapify(todo)
-        while todo:
-            t, i, j = heapq.heappop(todo)
-            if (sim, i, j) in want or t > 12:
-                continue
-            want[sim, i, j] = t
-            for a, b, m in out[i, j]:
-                heapq.heappush(todo, (t + m, a, b))
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+@pytest.mark.parametrize("width", [1, 7, 64, 1000])
+def test_fractional_keys(spark, width):
+    """One rule, whatever the bins: fractions, bounds, ties of pos, ranges of no number."""
+    table = spark.createDataFrame([(1, 100, 0.1, 0), (91, 150, 0.2, 1), (140, 160, 0.3, 1), (-20, -5, 0.4, 2), (9, 3, 9.9, 0)], "lo int, hi int, v double, pos int")
+    rows = spark.createDataFrame([(x,) for x in (95.5, 100.0, 100.5, 150.0, 145.0, 150.5, -5.0, -4.5, -20.0, 0.5, None)], "m double")
+    want = {95.5: 0.1, 100.0: 0.1, 100.5: 0.2, 150.0: 0.2, 145.0: 0.2, 150.5: 0.3, -5.0: 0.4, -4.5: None, -20.0: 0.4, 0.5: None, None: None}
+    assert {r.m: r.v for r in intervals.lookup(rows, "m", table, width=width).collect()} == want
+    a, b = [(1, 100, 1.0), (150, 400, 2.0)], [(50, 160, 3.0), (90, 90, 4.0), (401, 500, 5.0)]
+    kind = "lo int, hi int, v double"
+    got = sorted(tuple(r) for r in intervals.combine(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), width).collect())
+    assert got == sorted((max(x[0], y[0]), min(x[1], y[1]), x[2], y[2]) for x in a for y in b if x[0] <= y[1] and y[0] <= x[1])
+
+
+def test_settings_unfold(spark):
+    rows = [(2, 8, "5.0, 5.0, 6.0, 6.0, 7.0, 7.0, 8.0, 8.0")]
+    each = intervals.unfolded(spark.createDataFrame(rows, "lo int, hi int, value string"), 1, 10)
+    got = sorted(tuple(r) for r in intervals.fill_gaps(intervals.merge_adjacent(each), 1, 10, 1.0).collect())
+    assert got == [(1, 1, 1.0), (2, 3, 5.0), (4, 5, 6.0), (6, 7, 7.0), (8, 8, 8.0), (9, 10, 1.0)]
+    rows = [(301, None, "4., 5., 6.,"), (None, 3, "2")]
+    got = sorted(tuple(r) for r in intervals.unfolded(spark.createDataFrame(rows, "lo int, hi int, value string"), 1, 303).collect())
+    assert got == [(1, 1, 2.0), (2, 2, 2.0), (3, 3, 2.0), (301, 301, 4.0), (302, 302, 5.0), (303, 303, 6.0)]
 
 
 def test_samples_are_fixed(spark):
@@ -140,6 +135,10 @@ def test_envi(spark, tmp_path):
     (tmp_path / "x.hdr").write_text(header)
     got = {(r.b, r.i, r.j): r.v for r in envi.read_bsq(spark, [f"{tmp_path}/x.bsq"]).collect()}
     assert got == {(b, i, j): float(data[b, i, j]) for b in range(2) for i in range(3) for j in range(4)}
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/x.bsq").write_bytes(data[:1].tobytes())
+    (tmp_path / "other/x.hdr").write_text(header.replace("bands = 2", "bands = 1"))
+    assert envi.read_bsq(spark, [f"{tmp_path}/x.bsq", f"{tmp_path}/other/x.bsq"]).count() == 36  # equal names in two folders
     for bad in ("no\n", "ENVI\nsamples = 4\n", header.replace("bsq", "bil"), header.replace("data type = 2", "data type = 12")):
         with pytest.raises(ValueError):
             envi.parse_header(bad)
@@ -155,8 +154,11 @@ def test_sparse_binary(spark, tmp_path):
 def test_tables(spark, tmp_path):
     (tmp_path / "ign.csv").write_text("row,col,start,runtime\n4,1,0,10\n5,2,0,20\n")
     assert [tuple(r) for r in tables.read_ignitions(spark, f"{tmp_path}/ign.csv").collect()] == [(4, 1, 0.0, 10.0), (5, 2, 0.0, 20.0)]
-    lines = spark.createDataFrame([("A_DT = 3.5 ! note",), ("LIST(2) = 'x'",), ("R(1:256) = 7",), ("&INPUTS",), ("/",)], "value string")
-    assert {tuple(r) for r in tables.namelist(lines).collect()} == {("a_dt", None, None, "3.5"), ("list", 2, 2, "x"), ("r", 1, 256, "7")}
+    lines = spark.createDataFrame([("A_DT = 3.5 ! note",), ("LIST(2) = 'x'",), ("R(1:256) = 7",), ("S(110:) = 1., 2.,",), ("T(:110) = 5 /",), ("P = '/data/in'",), ("Q = 'a & b' & c",), ('V = "it\'s ./x!" ! \'',), ("&INPUTS",), ("/",)], "value string")
+    want = {("a_dt", None, None, "3.5"), ("list", 2, 2, "x"), ("r", 1, 256, "7"), ("s", 110, None, "1., 2.,"), ("t", None, 110, "5"), ("p", None, None, "/data/in"), ("q", None, None, "a & b"), ("v", None, None, "it's ./x!")}
+    assert {tuple(r) for r in tables.namelist(lines).collect()} == want
+    tables.write_summary(spark.createDataFrame([(2, 1, 5.0), (1, 9, 6.0)], "ignition_row int, ignition_col int, fire_size double"), f"{tmp_path}/out")
+    assert [r.fire_size for r in spark.read.option("header", True).schema("ignition_row int, ignition_col int, fire_size double").csv(f"{tmp_path}/out").orderBy("ignition_row").collect()] == [6.0, 5.0]
 
 
 def test_stream(spark, tmp_path):
@@ -169,6 +171,14 @@ def test_stream(spark, tmp_path):
     got = sorted((r.path, r.changes) for r in spark.table("settled").collect())
     assert got == [("a", 1), ("a", 2), ("b", 1)]
     assert watch.settled(df).count() == 4
+    cells = spark.createDataFrame([(1, 2, 10), (1, 2, 20), (1, 3, 3700)], "i int, j int, s int").select("i", "j", F.timestamp_seconds("s").alias("ts"))
+    assert sorted(r.burn_count for r in watch.live_counts(cells).collect()) == [1, 2]
+
+
+def test_plans_stay_small(spark):
+    """Shared intermediates are worked out once: the plan of the fastest spread is not much larger than that of the slowest."""
+    size = {n: len(plans.queries()[n](spark, SF)._jdf.queryExecution().optimizedPlan().toString()) for n in ("surface_minimum_spread", "surface_maximum_spread", "flame_stats_by_fuel")}
+    assert max(size.values()) < 3 * size["surface_minimum_spread"] < 60_000, size
 
 
 @pytest.fixture(scope="module")
