@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchors, arc, bpe, crosspoly, edits, langid, licenses, minhash, packing, pstable
+from . import anchors, arc, bpe, crosspoly, edits, langid, licenses, minhash, oracles, packing, pstable
 from .common import table
 
 
@@ -21,7 +21,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_documents(table(spark, sf_dir, "documents"), percent=85)
+    return minhash.near_documents(table(spark, sf_dir, "documents"), percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -114,6 +114,20 @@ def test_nearest_visits_few_cells():
         assert 12 * crosspoly.probes_of(n, 128 * 128, 12, 3.2) / 128**2 <= most
 
 
+def test_nearest_scores_less_than_all(spark):
+    """On vectors without structure, where hashing prunes least, with default parameters."""
+    m = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ask, met = m[::50], 0
+    probes = crosspoly.probes_of(len(m), 128 * 128, 12, 3.2)
+    for t in range(12):
+        a, b = crosspoly.along(m, 2 * t, 11, 64), crosspoly.along(m, 2 * t + 1, 11, 64)
+        held = np.bincount(a.argmax(1) * 128 + b.argmax(1), minlength=128 * 128)
+        both = (a[::50, :, None] + b[::50, None]).reshape(len(ask), -1)
+        met += held[np.argpartition(-both, probes - 1, 1)[:, :probes]].sum()
+    assert met < 0.45 * len(m) * len(ask)
+
+
 def test_nearest_of_one_frequent_vector(spark):
     """A third of the rows are copies of one vector: they count once in each table, all ids come back in order."""
     rng = np.random.default_rng(3)
