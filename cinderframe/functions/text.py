@@ -56,3 +56,37 @@ def hours_between(t0: Column, t1: Column) -> Column:
     """``+NNhr``, the number padded to two places, half hours up."""
     hours = F.floor((F.unix_micros(t1.cast("timestamp")) - F.unix_micros(t0.cast("timestamp"))) / 3.6e9 + 0.5)
     return F.format_string("+%2dhr", hours)
+
+
+def job_of(path: Column) -> Column:
+    """struct(fire_name, type, ignition_time) of a deck's path ``.../name_yyyyMMdd_HHmmss_001.tar``; null parts where it lacks them."""
+    name = file_name(path)
+    stamp = F.nullif(F.regexp_extract(name, r"(\d{8}_\d{6})", 1), F.lit(""))
+    fire = F.nullif(F.regexp_extract(name, r"^(.+?)_\d{8}_\d{6}", 1), F.lit(""))
+    at = reformat_date(stamp, "yyyyMMdd_HHmmss", "yyyy-MM-dd HH:mm")
+    return F.struct(fire.alias("fire_name"), F.lit("active-fire").alias("type"), F.concat(at, F.lit(" UTC")).alias("ignition_time"))
+
+
+def deck_name(fire: Column, ignition: Column, given: str = "yyyy-MM-dd HH:mm", suffix: str = "001") -> Column:
+    return F.concat_ws("_", fire, reformat_date(ignition, given, "yyyyMMdd_HHmmss"), F.lit(suffix))
+
+
+def weather_start(ignition: Column) -> Column:
+    """The hour in which a fire starts: weather is hourly."""
+    return F.date_trunc("hour", ignition)
+
+
+def camel(name: str) -> str:
+    first, *rest = name.split("-")
+    return first + "".join(w.capitalize() for w in rest)
+
+
+def response(fields: dict[str, Column]) -> Column:
+    """A message's JSON text; names with dashes become camel case, null fields stay out."""
+    return F.to_json(F.struct(*(c.alias(camel(n)) for n, c in fields.items())))
+
+
+def request(message: Column, fields: dict[str, str]) -> Column:
+    """A request's fields (names with dashes: type) from its JSON text, which has them in camel case."""
+    got = F.from_json(message, ", ".join(f"`{camel(n)}` {t}" for n, t in fields.items()))
+    return F.struct(*(got[camel(n)].alias(n.replace("-", "_")) for n in fields))

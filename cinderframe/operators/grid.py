@@ -56,13 +56,22 @@ def near_matching(cells: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def blocked_diagonals(cells: DataFrame, open_cell: Column) -> DataFrame:
-    """Diagonal moves between cells whose two shared corners are both closed."""
-    marked = cells.select("i", "j", open_cell.alias("open"))
-    moves = neighbours(marked, marked, {"open": "open_to"}).where("di != 0 AND dj != 0 AND open AND open_to")
-    a = marked.select(F.col("i").alias("_ai"), F.col("j").alias("_aj"), F.col("open").alias("open_a"))
-    b = marked.select(F.col("i").alias("_bi"), F.col("j").alias("_bj"), F.col("open").alias("open_b"))
-    moves = moves.withColumns({"_ai": F.col("i") + F.col("di"), "_aj": F.col("j"), "_bi": F.col("i"), "_bj": F.col("j") + F.col("dj")})
-    return moves.join(a, ["_ai", "_aj"]).join(b, ["_bi", "_bj"]).where("NOT open_a AND NOT open_b").select("i", "j", "di", "dj")
+    """Diagonal moves between open cells whose two shared corners are both closed.
+
+    Every cell takes its part in the four blocks of two by two cells that it lies in: one shuffle, no join. Blocks over
+    the edge or a missing cell have none of them.
+    """
+    corner = F.explode(F.array(*map(F.lit, range(4))))
+    parts = cells.select("i", "j", open_cell.alias("open"), corner.alias("at"))
+    di, dj = F.floor(F.col("at") / 2).cast("int"), F.col("at") % 2
+    blocks = parts.groupBy((F.col("i") - di).alias("bi"), (F.col("j") - dj).alias("bj")).agg(*(F.bool_and(F.when(F.col("at") == k, F.col("open"))).alias(f"o{k}") for k in range(4)))
+
+    def moves(a: int, b: int, condition: str) -> DataFrame:
+        step = lambda x, y: F.struct((F.col("bi") + x // 2).alias("i"), (F.col("bj") + x % 2).alias("j"), F.lit(y // 2 - x // 2).alias("di"), F.lit(y % 2 - x % 2).alias("dj"))
+        return F.when(F.expr(condition), F.array(step(a, b), step(b, a))).otherwise(F.array())
+
+    both = F.concat(moves(0, 3, "o0 AND o3 AND NOT o1 AND NOT o2"), moves(1, 2, "o1 AND o2 AND NOT o0 AND NOT o3"))
+    return blocks.select(F.inline(both))
 
 
 def gradient(cells: DataFrame, value: str, missing: float | None = None) -> DataFrame:
@@ -128,9 +137,9 @@ def venn_class(observed: Column, simulated: Column, ignited: Column) -> Column:
     return F.when(ignited, 4.0).when(observed & simulated, 2.5).when(observed, 1.0).when(simulated, 5.0).otherwise(0.0)
 
 
-def rescaled(cells: DataFrame, value: str, factor: int) -> DataFrame:
-    """A coarser layer: the mean of each block of ``factor`` by ``factor`` cells, those without value left out."""
-    coarse = cells.groupBy(F.floor(F.col("i") / factor).cast("int").alias("i"), F.floor(F.col("j") / factor).cast("int").alias("j"))
+def rescaled(cells: DataFrame, value: str, factor: int, keys: list[str] | None = None) -> DataFrame:
+    """A coarser layer: the mean of each block of ``factor`` by ``factor`` cells, those without value left out; each of ``keys`` by itself."""
+    coarse = cells.groupBy(*(keys or []), F.floor(F.col("i") / factor).cast("int").alias("i"), F.floor(F.col("j") / factor).cast("int").alias("j"))
     return coarse.agg(F.avg(value).alias(value))
 
 

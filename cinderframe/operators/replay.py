@@ -68,3 +68,11 @@ def lapse_weight(preferred: Column, lapse: Column) -> Column:
 
 def weighted_scores(rows: DataFrame, keys: list[str], weight: Column, values: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*(F.try_divide(F.sum(weight * F.col(v)), F.sum(weight)).alias(v) for v in values))
+
+
+def merged(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of the same replays from two runs beside each other; ``second`` fills in and goes before where both have one."""
+    a, b = (x.select(*keys, F.struct(*(F.col(c) for c in x.columns if c not in keys)).alias(n)) for x, n in ((first, "_a"), (second, "_b")))
+    names = [c for c in dict.fromkeys([*first.columns, *second.columns]) if c not in keys]
+    pick = lambda c: [F.col(f"{n}.{c}") for x, n in ((second, "_b"), (first, "_a")) if c in x.columns]
+    return a.join(b, keys, "full").select(*keys, *(F.coalesce(*pick(c)).alias(c) for c in names))

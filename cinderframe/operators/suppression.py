@@ -63,3 +63,8 @@ def chosen(slices_: DataFrame, needed: int, size: float = 5.0) -> DataFrame:
     counted = once.join(slices_.select("sim", "slice", "n"), ["sim", "slice"])
     before = F.coalesce(F.sum("n").over(Window.partitionBy("sim").orderBy("place", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counted.withColumn("before", before).where(F.col("before") < needed).select("sim", "slice")
+
+
+def mean_index(burned: DataFrame, index: DataFrame, value: str) -> DataFrame:
+    """(sim, mean): the mean difficulty of the cells that each fire burned, by the layer's own (i, j, value)."""
+    return burned.select("sim", "i", "j").join(index.select("i", "j", value), ["i", "j"]).groupBy("sim").agg(F.avg(value).alias("mean"))

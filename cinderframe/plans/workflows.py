@@ -399,6 +399,45 @@ def allowed_paths(spark, sf_dir):
     return land.table(spark, sf_dir, "events").select("event_id", watch.allowed(path, ["click", "/purchase/"]).alias("allowed"))
 
 
+@query("SELECT event_id, 'fire-' || user_id AS fire_name, 'active-fire' AS type, strftime(ts, '%Y-%m-%d %H:%M') || ' UTC' AS ignition_time, 'fire-' || user_id || strftime(ts, '_%Y%m%d_%H%M00_001') AS deck, date_trunc('hour', ts) AS weather_start FROM events")
+def deck_jobs(spark, sf_dir):
+    """Jobs by the paths of decks, the decks' names by their jobs."""
+    e = land.table(spark, sf_dir, "events")
+    path = F.concat(F.lit("/in/fire-"), F.col("user_id"), F.date_format("ts", "_yyyyMMdd_HHmmss"), F.lit("_001.tar"))
+    j = e.select("event_id", text.job_of(path).alias("j"), text.weather_start(F.col("ts")).alias("weather_start"))
+    deck = text.deck_name(F.col("j.fire_name"), F.regexp_replace("j.ignition_time", " UTC$", ""))
+    return j.select("event_id", "j.*", deck.alias("deck"), "weather_start")
+
+
+@query("SELECT event_id, '{\"fireName\":\"fire-' || user_id || '\",\"status\":' || CAST(event_id % 3 AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN ',\"responseHost\":\"' || event_type || '\"' ELSE '' END || '}' AS message, 'fire-' || user_id AS fire_name, CAST(event_id % 3 AS INT) AS status, CASE WHEN event_id % 2 = 0 THEN event_type END AS response_host FROM events")
+def request_messages(spark, sf_dir):
+    """Messages written as JSON with camel-case names and read back."""
+    fields = {"fire-name": F.concat(F.lit("fire-"), F.col("user_id")), "status": (F.col("event_id") % 3).cast("int"), "response-host": F.when(F.col("event_id") % 2 == 0, F.col("event_type"))}
+    e = land.table(spark, sf_dir, "events").select("event_id", text.response(fields).alias("message"))
+    return e.select("event_id", "message", text.request(F.col("message"), {"fire-name": "string", "status": "int", "response-host": "string"}).alias("r")).select("event_id", "message", "r.*")
+
+
+@query(f"WITH {land.CELLS}, {land.SIMS} SELECT sim, round(avg(slope), 9) AS mean FROM sims JOIN cells USING (i, j) GROUP BY sim")
+def mean_difficulty(spark, sf_dir):
+    return rounded(suppression.mean_index(land.sims(spark, sf_dir), land.cells(spark, sf_dir), "slope"), "mean", digits=9)
+
+
+@query(f"WITH {land.SIMS}, a AS (SELECT sim, i, count(*) AS n, max(burn_time) AS late FROM sims WHERE burn_time < 300 GROUP BY 1, 2), b AS (SELECT sim, i, count(*) AS n, min(burn_time) AS early FROM sims WHERE burn_time >= 200 GROUP BY 1, 2) SELECT COALESCE(a.sim, b.sim) AS sim, COALESCE(a.i, b.i) AS i, COALESCE(b.n, a.n) AS n, late, early FROM a FULL JOIN b ON a.sim = b.sim AND a.i = b.i")
+def merged_statistics(spark, sf_dir):
+    """Statistics of two runs over the same replays beside each other."""
+    s = land.sims(spark, sf_dir)
+    a = s.where("burn_time < 300").groupBy("sim", "i").agg(F.count("*").alias("n"), F.max("burn_time").alias("late"))
+    b = s.where("burn_time >= 200").groupBy("sim", "i").agg(F.count("*").alias("n"), F.min("burn_time").alias("early"))
+    return replay.merged(a, b, ["sim", "i"])
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY moisture DESC, cell) AS INT) AS place, cell, moisture FROM (SELECT user_id % 16 AS cell, CAST(sum(CAST(round(value * 100) AS BIGINT)) % 97 AS BIGINT) AS moisture FROM events GROUP BY 1)")
+def weather_cells(spark, sf_dir):
+    """The sixteen weather cells, the moistest first."""
+    e = land.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 16).alias("cell")).agg((land.cents("value") % 97).alias("moisture"))
+    return e.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("moisture"), "cell"))).select("place", "cell", "moisture")
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cinderframe.functions import containment, crown, fuels, spotting, surface, text, units
 from cinderframe.operators import ensemble, grid, layers, replay, sampling, suppression
 from cinderframe.plans import workflows
-from cinderframe.sources import geotiff, tables
+from cinderframe.sources import database, geotiff, tables
 
 SF = "/root/testdata/sf0.001"
 #: Fixed values (BehavePlus 5, half cured fuel without wind and slope): rate (ch/h), reaction intensity (Btu/ft2/min).
@@ -260,6 +260,20 @@ def test_wide_parameters(spark):
     assert layers.planar(2, 3, 45.0, 10.0, spark).agg(F.max("v")).first()[0] == pytest.approx(20.0)
 
 
+def test_raster_tables(spark):
+    """Rasters in a database, here the one that comes with Spark, kept in memory."""
+    url, driver = "jdbc:derby:memory:rasters;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    cells = spark.createDataFrame([(b, i, j, float(i * 10 + j + b)) for b in range(2) for i in range(6) for j in range(4)], "b int, i int, j int, v double")
+    cells.write.format("jdbc").options(url=url, dbtable="layer", driver=driver).mode("overwrite").save()
+    back = database.read_raster(spark, url, "layer", 6, parts=3, driver=driver)
+    assert back.rdd.getNumPartitions() == 3 and sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
+    mask = database.read_raster(spark, url, "layer", 6, threshold=30.0, driver=driver).where("v > 0")
+    assert {r.i for r in mask.collect()} == {3, 4, 5}
+    coarse = {(r.b, r.i, r.j): r.v for r in database.read_raster(spark, url, "layer", 6, rescale=2, driver=driver).collect()}
+    assert len(coarse) == 12 and coarse[0, 0, 0] == 5.5 and coarse[1, 2, 1] == 48.5
+    assert [tuple(r) for r in database.metadata(back).orderBy("b").collect()] == [(0, 6, 4, 0.0, 53.0), (1, 6, 4, 1.0, 54.0)]
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
