@@ -8,8 +8,9 @@ either side, re-encodes only these, and updates the sums on the way up; other le
 Documents and their edits are dealt by doc_id and met in order of ``seq``, one document in memory at a
 time, however many edits it has. Offsets count characters of the text as the edits before left it; those
 beyond its end are taken as its end, a null insertion as empty, a negative or null length as 0.
-A null text is empty; edits of an unknown document are left out; of repeated doc_ids the smallest text
-counts; edits of one seq go by start, length and insertion. An empty table gives no rows.
+A null text is empty; edits of an unknown document are left out, and so are rows and edits without doc_id; of
+repeated doc_ids the smallest text counts, once; repeated edits are all done, those of one seq by start, length and
+insertion. Extra columns stay behind. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -355,6 +355,16 @@ def test_counted_edits(spark, library, empty):
     assert edits.count_edits(empty, steps, VOCABULARY).count() == 0
 
 
+def test_counted_edits_edges(spark, library):
+    docs = spark.createDataFrame([(1, "b text", "x"), (1, "a text of more words", "x"), (None, "nobody's", "x"), (2, None, "x"), (3, "z" * 200_000, "x")], "doc_id long, text string, seq string")
+    steps = spark.createDataFrame([(1, 1, 0, 1, "the"), (1, 1, 0, 1, "the"), (None, 1, 0, 0, "x"), (2, 1, 5, 5, "new"), (3, 2, 100_000, 1, " ")], "doc_id long, seq long, start long, length long, insertion string")
+    got = {r.doc_id: r for r in edits.count_edits(docs, steps, VOCABULARY).collect()}
+    assert got.keys() == {1, 2, 3} and (got[1].n_edits, got[2].n_edits) == (2, 1)
+    want = {1: "thehe text of more words", 2: "new", 3: "z" * 100_000 + " " + "z" * 99_999}
+    assert {i: (r.tokens_after, r.text_crc32) for i, r in got.items()} == {i: (len(ids_of(library, t)), zlib.crc32(t.encode())) for i, t in want.items()}
+    assert edits.made_edits(docs).groupBy("doc_id").count().count() == 3
+
+
 def test_edits_touch_little():
     text = " ".join(f"word{k}" for k in range(20_000))
     tree = edits.CountedText(text, bpe.coder(VOCABULARY))
