@@ -123,11 +123,11 @@ def layer_bounds(spark, sf_dir):
     return land.table(spark, sf_dir, "part").select("p_partkey", e.alias("e")).select("p_partkey", "e.*")
 
 
-@query(f"WITH {land.CELLS}, box AS (SELECT min(i) AS a, max(i) AS z, min(j) AS l, max(j) AS r FROM cells WHERE elevation > 3000) SELECT CAST(i - a AS INT) AS i, CAST(j - l AS INT) AS j, elevation FROM cells, box WHERE i BETWEEN a AND z AND j BETWEEN l AND r")
+@query(f"WITH {land.CELLS}, box AS (SELECT min(i) AS a, max(i) AS z, min(j) AS l, max(j) AS r FROM cells WHERE slope > 0.058) SELECT CAST(i - a AS INT) AS i, CAST(j - l AS INT) AS j, elevation FROM cells, box WHERE i BETWEEN a AND z AND j BETWEEN l AND r")
 def clipped_layer(spark, sf_dir):
-    """The layer within the box around its high cells."""
-    cells = land.cells(spark, sf_dir).select("i", "j", "elevation")
-    return grid.clipped(cells, grid.bounding_box(cells, F.col("elevation") > 3000))
+    """The layer within the box around its steep cells."""
+    cells = land.cells(spark, sf_dir)
+    return grid.clipped(cells.select("i", "j", "elevation"), grid.bounding_box(cells, F.col("slope") > 0.058))
 
 
 @query(f"WITH {land.SIMS} SELECT sim, i, j, CASE WHEN burn_time < 20 THEN 4e0 WHEN burn_time < 300 AND flame_length > 30 THEN 2.5e0 WHEN flame_length > 30 THEN 1e0 WHEN burn_time < 300 THEN 5e0 ELSE 0e0 END AS class FROM sims")
