@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -29,10 +31,17 @@ def tune(spark: SparkSession, batch_mb: int = 4, batch_rows: int = 4000) -> None
 
 
 def release() -> None:
-    """Free what an operator before has left in this Python worker: called at the start of others' tasks."""
+    """Free what an operator before has left in this Python worker: called at the start of others' tasks.
+
+    Spark keeps workers over stages. Freed memory in small pieces stays with the process unless the C library is asked
+    to give it back, where it can.
+    """
     bpe = sys.modules.get(f"{__package__}.bpe")
-    if bpe is not None:
+    if bpe is not None and bpe.coder.cache_info().currsize:
         bpe.coder.cache_clear()
+        gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
