@@ -214,6 +214,8 @@ def near_documents(documents: DataFrame, percent: int = 80, size: int = 5, bands
     takes_part = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     alike = docs.where(takes_part).groupBy("c").agg(F.min(F.struct("doc_id", "text_hash")).alias("lead"), *(F.first(x).alias(x) for x in ("n_shingles", "keys", "sig")))
     classes = cut(alike, "classes")
+    mine = cut(docs.select("doc_id", "text_hash", "n_shingles", F.when(takes_part, F.col("c")).alias("c")), "documents")
+    forget(docs)
     verifier = Verifier(percent, least_matches(bands * rows, bands, percent / 100, miss))
 
     tied = survivors(classes, verifier, bucket)
@@ -221,7 +223,8 @@ def near_documents(documents: DataFrame, percent: int = 80, size: int = 5, bands
     blocks = cut(groups.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
     placed = groups.join(blocks, "root").select(F.col("node").alias("c"), "root", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("own"))
     placed = cut(placed.join(classes.select("c", "lead.doc_id", "lead.text_hash", "sig"), "c"), "placed")
-    forget(tied)
+    leads = cut(classes.select("c", "lead"), "leads")
+    forget(tied, classes)
 
     def with_sets(batches):
         for batch in batches:
@@ -258,11 +261,10 @@ def near_documents(documents: DataFrame, percent: int = 80, size: int = 5, bands
         roots = components(links.union(more))
         forget(light, main, more)
 
-    rooted = classes.select("c", "lead").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "lead", F.coalesce("root", "c").alias("root"))
+    rooted = leads.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select("c", "lead", F.coalesce("root", "c").alias("root"))
     first = rooted.groupBy("root").agg(F.min("lead").alias("first"))
     final = cut(rooted.join(first, "root").select("c", "first"), "near-classes")
-    forget(links, blocks, placed, members, classes)
-    mine = docs.select("doc_id", "text_hash", "n_shingles", F.when(takes_part, F.col("c")).alias("c"))
+    forget(links, blocks, placed, members, leads)
     out = mine.join(final, "c", "left").select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "text_hash", "first")
-    leads = F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "text_hash"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash", leads.alias("leads"))
+    leading = F.col("first").isNull() | (F.col("first") == F.struct("doc_id", "text_hash"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash", leading.alias("leads"))
