@@ -7,9 +7,9 @@ first table that brings it together, so no pair list is kept: tasks give each ro
 that span what they found. Buckets beyond ``block`` rows are compared block by block, whole.
 
 There are as many tables as it takes for two vectors right at the threshold to meet in none with a probability of
-at most ``miss``: 41 at the defaults; at cosine 0.95 it is 6e-5. Unrelated vectors of 64 dimensions meet in one of
-them with a probability of 0.01; for more rows, more projections make more and smaller buckets. Vectors that are null, empty, zero or hold null or non-finite components, and rows without
-label, link with nothing: 0 links and their own id. Rows of one vec_id and vector count as copies.
+at most ``miss``: 77 at the defaults; at cosine 0.95 it is 2e-05. Unrelated vectors of 64 dimensions meet in one of
+them with a probability of 0.0013; for more rows, more projections make more and smaller buckets. Vectors that are
+null, empty, zero or hold null or non-finite components, and rows without label, link with nothing: 0 links and their own id. Rows of one vec_id and vector count as copies.
 An empty table gives no rows.
 """
 
@@ -57,7 +57,7 @@ def takes_part():
     return F.coalesce(usable_vector() & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.93, miss: float = 1e-3, projections: int = 14, width: float = 2.4, block: int = 512, seed: int = 9) -> DataFrame:
+def near_vectors(embeddings: DataFrame, threshold: float = 0.93, miss: float = 1e-3, projections: int = 16, width: float = 2.1, block: int = 512, seed: int = 9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = embeddings.sparkSession
     tune(spark)

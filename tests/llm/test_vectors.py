@@ -159,7 +159,7 @@ def test_recall_of_links(spark):
     want = int(linked.sum()) * 2
     got = sum(r.n_links for r in pstable.near_vectors(df).collect())
     assert want > 500 and 0.99 * want <= got <= want
-    assert (1 - pstable.meeting(0.93, 2.4) ** 14) ** pstable.tables_for(0.93, 14, 2.4, 1e-3) <= 1e-3
+    assert (1 - pstable.meeting(0.93, 2.1) ** 16) ** pstable.tables_for(0.93, 16, 2.1, 1e-3) <= 1e-3
 
 
 def test_components(spark):
